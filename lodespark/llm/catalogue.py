@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodespark.llm import pieces
+from lodespark.llm import pieces, quality, secretscan, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.write_and_read(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -25,5 +29,9 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), keep_ids=False)
 
 
-QUERIES = {"op3_sentencepiece": op3_sentencepiece}
-ORACLES: dict[str, str] = {}
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.secret_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_quality_rules, op3_sentencepiece, op10_secret_scan)}
+ORACLES: dict[str, str] = {"op10_secret_scan": secretscan.oracle()}
