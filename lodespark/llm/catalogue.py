@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodespark.llm import pieces, quality, secretscan, tokenfile
+from lodespark.llm import decontaminate, pieces, quality, secretscan, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +29,13 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), keep_ids=False)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.secret_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_quality_rules, op3_sentencepiece, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_quality_rules, op3_sentencepiece, op7_decontamination, op10_secret_scan)}
 ORACLES: dict[str, str] = {"op10_secret_scan": secretscan.oracle()}
