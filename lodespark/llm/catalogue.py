@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodespark.llm import decontaminate, neardup, pieces, quality, secretscan, tokenfile
+from lodespark.llm import ctw, decontaminate, neardup, pieces, quality, secretscan, substrings, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +29,18 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), keep_ids=False)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_runs(table(spark, sf_dir, "documents")).drop("t")
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("node")
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -41,5 +49,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.secret_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_quality_rules, op3_sentencepiece, op5_near_duplicates, op7_decontamination, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_quality_rules, op3_sentencepiece, op4_substring_dedup, op5_near_duplicates, op6_lm_scores, op7_decontamination, op10_secret_scan)}
 ORACLES: dict[str, str] = {"op10_secret_scan": secretscan.oracle()}
