@@ -297,10 +297,10 @@ def score(docs: DataFrame, fold: int = 5, held: int = 1) -> DataFrame:
     schema = f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, logs double, score double, rare array<struct<key:bigint,n:bigint>>"
     scored = written(texts.mapInArrow(_score_rows(spark.sparkContext.broadcast(model)), schema), "scored")
     words = counts.where((F.col("kind") == WORDS) & (F.col("n") > 0)).select("key", F.col("n").alias("c"))
-    rare = scored.select("row", F.explode("rare").alias("w")).select("row", "w.key", "w.n").join(words, "key", "left")
+    rare = scored.select("row", F.explode("rare").alias("w")).select("row", "w.key", "w.n").join(words.hint("merge"), "key", "left")
     sums = rare.groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more_logs"))
     base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * math.log10(model.tokens + 0.5 * (model.distinct + 1))
-    return scored.drop("rare").join(sums, "row", "left").select(
+    return scored.drop("rare").join(sums.hint("merge"), "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(model.tokens).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score",
     )

@@ -121,7 +121,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     doc_seeds = texts.mapInArrow(_seed_rows(masks, bit_set(item_seeds)), rows)
     met = doc_seeds.join(item_seeds, "h").select("id", F.col("item_id").alias("_item"), (F.col("place") - F.col("item_place")).alias("d"))
     pairs = met.groupBy("id", "_item").agg(F.collect_set("d").alias("diagonals"))
-    laid = pairs.join(texts, F.col("id").eqNullSafe(F.col("doc_id"))).join(items, F.col("_item").eqNullSafe(F.col("item_id")))
+    laid = pairs.join(texts.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id"))).join(items, F.col("_item").eqNullSafe(F.col("item_id")))
     schema = ", ".join(f"{n} bigint" for n in NAMES)
     found = laid.select("doc_id", "text", "item_id", "item", "diagonals").mapInArrow(_verify(least, share), schema)
     best = F.max_by(F.struct(*NAMES[2:]), F.struct("n_equal", -F.col("doc_word"))).alias("best")

@@ -198,13 +198,13 @@ class _Texts:
         """Vectors of the wanted nodes, each from the text of its least id."""
         which = self.nodes.join(wanted, "node", "left_semi").select(F.col("node").alias("_n"), F.col("least_id").alias("_id"))
         texts = self.docs.select("doc_id", "text", F.unhex(F.md5("text")).alias("node"))
-        found = texts.join(which, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_n"))).select("node", "text").dropDuplicates(["node"])
+        found = texts.join(which.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_n"))).select("node", "text").dropDuplicates(["node"])
         return written(found.mapInArrow(_vector_rows(self.idf), "node binary, s binary, w binary"), "vectors")
 
     def first_pairs(self) -> DataFrame:
         """Each text with the least text of each of its buckets."""
         heads = self.met.groupBy("band", "value").agg(F.min(F.struct("node", "total")).alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-        pairs = self.met.join(heads, ["band", "value"]).where("node != head.node")
+        pairs = self.met.join(heads.hint("merge"), ["band", "value"]).where("node != head.node")
         return self._near_in_weight(pairs.select(F.col("head.node").alias("u"), F.col("node").alias("v"), F.col("head.total").alias("tu"), F.col("total").alias("tv")))
 
     def other_pairs(self, classes: DataFrame, done: DataFrame) -> DataFrame:
@@ -212,9 +212,9 @@ class _Texts:
         named = self.met.join(classes.select("node", "component"), "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
         sizes = named.groupBy("band", "value", "class").agg(F.count("*").alias("n"))
         many = sizes.groupBy("band", "value").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
-        inside = written(named.join(many, ["band", "value"]), "buckets")
+        inside = written(named.join(many.hint("merge"), ["band", "value"]), "buckets")
         outside = inside.where("class != main").select("band", "value", F.col("node").alias("u"), F.col("class").alias("cu"), F.col("total").alias("tu"))
-        both = outside.join(inside, ["band", "value"]).where("class != cu").select("u", F.col("node").alias("v"), "tu", F.col("total").alias("tv"))
+        both = outside.join(inside.hint("merge"), ["band", "value"]).where("class != cu").select("u", F.col("node").alias("v"), "tu", F.col("total").alias("tv"))
         ordered = both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "tu", "tv")
         return self._near_in_weight(ordered).join(done, ["u", "v"], "left_anti")
 
@@ -225,7 +225,7 @@ class _Texts:
     def verified(self, pairs: DataFrame) -> DataFrame:
         vectors = self.vectors(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct())
         left, right = vectors.toDF("u", "su", "wu"), vectors.toDF("v", "sv", "wv")
-        rows = pairs.join(left, "u").join(right, "v").select("u", "v", "su", "wu", "sv", "wv")
+        rows = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "su", "wu", "sv", "wv")
         return written(rows.mapInArrow(_verify_rows(self.similar), "u binary, v binary"), "links")
 
 
@@ -246,7 +246,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     about = named.groupBy("component").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("n_texts"))
     by_node = named.select("node", "component").join(about, "component").select("node", "class_id", "class_size", "n_texts")
     alone = rows.where("total = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"), F.lit(0).cast("bigint").alias("n_texts"), "node")
-    return rows.where("total > 0").select("doc_id", "node").join(by_node, "node").select("doc_id", "class_id", "class_size", "n_texts", "node").unionByName(alone)
+    return rows.where("total > 0").select("doc_id", "node").join(by_node.hint("merge"), "node").select("doc_id", "class_id", "class_size", "n_texts", "node").unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -255,6 +255,6 @@ def one_of_each(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     found = near_duplicates(docs, similar)
     first = found.where("n_texts > 0").groupBy("class_id").agg(F.min(F.struct("doc_id", "node")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.node").alias("_node"))
     keyed = docs.withColumn("_text", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_node"))).dropDuplicates(["_id", "_node"])
+    kept = keyed.join(first.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_node"))).dropDuplicates(["_id", "_node"])
     blank = docs.where(F.coalesce(F.length(F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))), F.lit(0)) == 0)
     return kept.select(*columns).unionByName(blank.select(*columns))

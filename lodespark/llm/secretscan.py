@@ -123,7 +123,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     """id, text, `keep`, found: every rule's spans, sorted by start, then by the order of the rules."""
     full = {r.kind for r in rules if trigrams.query(r.pattern) is True}
     hits = candidates(postings(docs, rules, id_col, text_col), rules).withColumnRenamed("doc_id", "_hit")
-    rows = docs.select(*dict.fromkeys([id_col, text_col, *keep])).join(hits, F.col(id_col).eqNullSafe(F.col("_hit")), "left").drop("_hit")
+    rows = docs.select(*dict.fromkeys([id_col, text_col, *keep])).join(hits.hint("merge"), F.col(id_col).eqNullSafe(F.col("_hit")), "left").drop("_hit")
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     each = []

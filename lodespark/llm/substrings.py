@@ -126,9 +126,9 @@ def repeated_runs(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     counted = texts.select("text").mapInArrow(_digest_rows, "digest bigint").groupBy("digest").agg(F.count("*").alias("n"))
     twice = counted.where("n > 1").select("digest")
     placed = texts.mapInArrow(_chunk_rows, f"digest bigint, doc_id {kind}, t int, number int, start int, end int, size int")
-    again = written(placed.join(twice, "digest"), "chunks")
+    again = written(placed.join(twice.hint("merge"), "digest"), "chunks")
     first = again.groupBy("digest").agg(F.min(F.struct("doc_id", "t")).alias("first"))
-    later = again.join(first, "digest").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t"))))
+    later = again.join(first.hint("merge"), "digest").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t"))))
     later = later.groupBy("doc_id", "t", "number").agg(F.first(F.struct("start", "end", "size", "first")).alias("c")).select("doc_id", "t", "number", "c.*")
     by_doc = Window.partitionBy("doc_id", "t").orderBy("number")
     runs = later.withColumn("run", F.col("number") - F.row_number().over(by_doc)).groupBy("doc_id", "t", "run")
