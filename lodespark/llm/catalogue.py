@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodespark.llm import ctw, decontaminate, langid, neardup, pieces, quality, secretscan, substrings, tokenfile
+from lodespark.llm import ctw, decontaminate, langid, neardup, pieces, quality, secretscan, substrings, template, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,9 +49,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template.main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.secret_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_quality_rules, op3_sentencepiece, op4_substring_dedup, op5_near_duplicates, op6_lm_scores, op7_decontamination, op8_language_id, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_quality_rules, op3_sentencepiece, op4_substring_dedup, op5_near_duplicates, op6_lm_scores, op7_decontamination, op8_language_id, op9_html_text, op10_secret_scan)}
 ORACLES: dict[str, str] = {"op10_secret_scan": secretscan.oracle()}
