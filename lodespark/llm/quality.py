@@ -8,7 +8,8 @@ added to every bucket. A document's score is the mean over its n-grams of
 log(target share / raw share); it is kept when the base rules pass and the score
 is at least `threshold`. The rule is the same for every document and every run.
 
-Only the two count vectors, `buckets` numbers each, reach the driver; the
+The trusted ids grow with the corpus, so they are joined by a shuffle at every
+size. Only the two count vectors, `buckets` numbers each, reach the driver; the
 weights go back as one literal. Everything runs in the JVM.
 
 Cases: a null or empty text has no words and fails the base rules; rows with the
@@ -78,7 +79,7 @@ def repeated_words(words: Column) -> Column:
 def base_rules(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Adds the counts of the base rules to rows with `text`; the columns in `keep` stay."""
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
-    rows = docs.select(*keep, "text", words_of(F.col("text")).alias("words"))
+    rows = docs.select(*dict.fromkeys([*keep, "text"]), words_of(F.col("text")).alias("words"))
     counted = rows.select(
         *keep, "words",
         F.size("words").cast("bigint").alias("n_words"),
@@ -98,7 +99,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 def weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """log(target share / raw share) of every bucket, from all documents."""
-    rows = docs.select("doc_id", "text").join(trusted_ids(labels), F.col("doc_id") == F.col("trusted_id"), "left")
+    rows = docs.select("doc_id", "text").join(trusted_ids(labels).hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left")
     grams = rows.select(F.col("trusted_id").isNotNull().cast("bigint").alias("t"), F.explode(ngram_buckets(words_of(F.col("text")), buckets)).alias("b"))
     raw, target = [1] * buckets, [1] * buckets
     for b, n, t in grams.groupBy("b").agg(F.count("*").alias("n"), F.sum("t").alias("t")).collect():
