@@ -16,10 +16,12 @@ probability 0.999.
 Links between different texts come from two rounds. First each text of a bucket
 is compared with the bucket's least text. Links make classes. Where a bucket
 still holds more than one class, the texts outside its largest class are compared
-with every text of another class in it. So each pair of texts that met is either
-compared or already in one class, and the classes are those that all pairs would
-give, but members of one class are not paired with each other. Every pair is
-verified by its exact weighted Jaccard similarity.
+with every text of another class in it: in a bucket of up to SMALL texts as pairs,
+in a larger one block by block, where a task keeps the classes it has joined,
+passes over pairs of one class and returns only the links that joined two. So
+each pair of texts that met is either compared or already in one class, and the
+classes are those that all pairs would give, but no group's pairs are ever
+listed. Every link is verified by its exact weighted Jaccard similarity.
 
 Texts are known by their MD5, so copies are one node. Nothing but the fixed table
 of word frequencies (BUCKETS numbers) reaches the driver.
@@ -46,6 +48,8 @@ BANDS, ROWS = 10, 3
 SIMILAR = 0.8
 BUCKETS = 1 << 14
 SLICE = 512 << 10
+#: Texts of a bucket whose pairs are listed; the mean number of texts in a block of a larger bucket.
+SMALL, BLOCK = 32, 96
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -179,6 +183,42 @@ def _verify_rows(similar: float):
     return run
 
 
+def _block_rows(similar: float):
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                band, left, right = (c[i].as_py() for c in batch.columns)
+                links = joining_links(band, left, right, similar)
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], ["u", "v"])
+
+    return run
+
+
+def joining_links(band: int, left: list[dict], right: list[dict], similar: float) -> list[tuple[bytes, bytes]]:
+    """Links between texts of two blocks that join classes which no earlier link of these blocks joined."""
+    parent: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    earlier = np.array([x["bands"][:band] for x in right], np.int64).reshape(len(right), band)
+    totals = np.array([x["total"] for x in right])
+    links = []
+    for a in left:
+        met_before = (earlier == np.array(a["bands"][:band], np.int64)).any(1)
+        near = np.minimum(totals, a["total"]) >= (similar - 1e-6) * np.maximum(totals, a["total"])
+        for k in np.flatnonzero(near & ~met_before).tolist():
+            b = right[k]
+            x, y = find(a["class"]), find(b["class"])
+            if x != y and similarity(a["s"], a["w"], b["s"], b["w"]) >= similar:
+                parent[x] = y
+                links.append((a["node"], b["node"]))
+    return links
+
+
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     """A row for each document: id, MD5 of the text, bands, total weight (0: no words)."""
     texts = docs.select("doc_id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("node"))
@@ -207,16 +247,32 @@ class _Texts:
         pairs = self.met.join(heads.hint("merge"), ["band", "value"]).where("node != head.node")
         return self._near_in_weight(pairs.select(F.col("head.node").alias("u"), F.col("node").alias("v"), F.col("head.total").alias("tu"), F.col("total").alias("tv")))
 
-    def other_pairs(self, classes: DataFrame, done: DataFrame) -> DataFrame:
-        """In buckets of several classes: texts outside the largest class with all texts of other classes."""
-        named = self.met.join(classes.select("node", "component"), "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
+    def unsettled(self, classes: DataFrame) -> DataFrame:
+        """(band, value, node, total, class, main, n) in buckets of n texts that hold several classes; main is the largest."""
+        named = self.met.join(classes.select("node", "component").hint("merge"), "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
         sizes = named.groupBy("band", "value", "class").agg(F.count("*").alias("n"))
-        many = sizes.groupBy("band", "value").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
-        inside = written(named.join(many.hint("merge"), ["band", "value"]), "buckets")
+        many = sizes.groupBy("band", "value").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.count("*").alias("classes"), F.sum("n").alias("n")).where("classes > 1").drop("classes")
+        return written(named.join(many.hint("merge"), ["band", "value"]), "buckets")
+
+    def other_pairs(self, inside: DataFrame, done: DataFrame) -> DataFrame:
+        """In small buckets: texts outside the largest class with all texts of other classes."""
+        inside = inside.where(F.col("n") <= SMALL)
         outside = inside.where("class != main").select("band", "value", F.col("node").alias("u"), F.col("class").alias("cu"), F.col("total").alias("tu"))
         both = outside.join(inside.hint("merge"), ["band", "value"]).where("class != cu").select("u", F.col("node").alias("v"), "tu", F.col("total").alias("tv"))
         ordered = both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "tu", "tv")
-        return self._near_in_weight(ordered).join(done, ["u", "v"], "left_anti")
+        return self._near_in_weight(ordered).join(done.hint("merge"), ["u", "v"], "left_anti")
+
+    def block_links(self, inside: DataFrame) -> DataFrame:
+        """The same in large buckets, block against block; a pair is compared in the first of its bands only."""
+        inside = inside.where(F.col("n") > SMALL)
+        vectors = self.vectors(inside.select("node").distinct()).join(self.nodes.select("node", "bands").hint("merge"), "node")
+        block = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).alias("block")
+        laid = inside.select("band", "value", "node", "total", "class", "main", block).join(vectors.hint("merge"), "node")
+        member = F.collect_list(F.struct("node", "class", "total", "bands", "s", "w"))
+        members = written(laid.groupBy("band", "value", "block").agg(member.alias("right")), "blocks").drop("block")
+        outside = written(laid.where("class != main").groupBy("band", "value", "block").agg(member.alias("left")), "blocks").drop("block")
+        both = outside.join(members.hint("merge"), ["band", "value"]).select("band", "left", "right")
+        return written(both.mapInArrow(_block_rows(self.similar), "u binary, v binary"), "links")
 
     def _near_in_weight(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose total weights alone don't rule them out."""
@@ -238,10 +294,15 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     pairs = written(texts.first_pairs(), "pairs")
     links = texts.verified(pairs)
     classes = connected_components(links, "u", "v")
-    more = written(texts.other_pairs(classes, pairs), "pairs")
+    inside = texts.unsettled(classes)
+    more = written(texts.other_pairs(inside, pairs), "pairs")
+    found = links
     if not more.isEmpty():
-        links = links.unionByName(texts.verified(more))
-        classes = connected_components(links, "u", "v")
+        found = found.unionByName(texts.verified(more))
+    if not inside.where(F.col("n") > SMALL).isEmpty():
+        found = found.unionByName(texts.block_links(inside))
+    if found is not links:
+        classes = connected_components(found, "u", "v")
     named = texts.nodes.select("node", "least_id", "copies").join(classes.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     about = named.groupBy("component").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("n_texts"))
     by_node = named.select("node", "component").join(about, "component").select("node", "class_id", "class_size", "n_texts")

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from lodespark.llm import neardup as N
 
@@ -61,7 +62,10 @@ def classes_by_brute_force(rows):
     return [find(i) for i in range(len(rows))]
 
 
-def test_classes_equal_all_pairs(spark):
+@pytest.mark.parametrize("small", [N.SMALL, 2])
+def test_classes_equal_all_pairs(spark, monkeypatch, small):
+    monkeypatch.setattr(N, "SMALL", small)
+    monkeypatch.setattr(N, "BLOCK", 2 if small == 2 else N.BLOCK)
     rows = corpus()
     want = classes_by_brute_force(rows)
     assert len(set(want)) < len(want) - 25
