@@ -74,16 +74,17 @@ def edge_betweenness(edges: DataFrame) -> DataFrame:
     """
     both = written(mirrored(edges), "edges")
     paths = written(shortest_paths(edges), "paths")
-    credit = written(paths.select("s", "t", "d", "paths", F.lit(1.0).alias("credit")), "credit")
     most = paths.agg(F.max("d")).first()[0] or 0
-    flows = []
+    flows, gained = [], None
     for d in range(most, 0, -1):
-        here = credit.where(F.col("d") == d).join(both.select(F.col("src").alias("t"), F.col("dst").alias("parent")), "t")
+        credit = paths.where(F.col("d") == d).withColumn("credit", F.lit(1.0))
+        if gained is not None:
+            credit = credit.join(gained, ["s", "t"], "left").withColumn("credit", 1.0 + F.coalesce("gained", F.lit(0.0)))
+        here = credit.join(both.select(F.col("src").alias("t"), F.col("dst").alias("parent")), "t")
         up = paths.where(F.col("d") == d - 1).select("s", F.col("t").alias("parent"), F.col("paths").alias("up"))
         flow = written(here.join(up, ["s", "parent"]).select("s", "parent", "t", (F.col("credit") * F.col("up") / F.col("paths")).alias("flow")), "flow")
         flows.append(flow)
         gained = flow.groupBy("s", F.col("parent").alias("t")).agg(F.sum("flow").alias("gained"))
-        credit = written(credit.where(F.col("d") == d - 1).join(gained, ["s", "t"], "left").select("s", "t", "d", "paths", (F.col("credit") + F.coalesce("gained", F.lit(0.0))).alias("credit")), "credit")
     if not flows:
         return edges.select("src", "dst", F.lit(0.0).alias("betweenness"))
     flow = flows[0]

@@ -226,7 +226,7 @@ def lsh_jaccard(spark, d):
     return rounded(lsh.lsh_join(tokens(spark, d), "d", "t"), "similarity")
 
 
-@query(f"WITH {TOKENS}, n AS (SELECT d, count(*) AS n FROM tokens GROUP BY d), s AS (SELECT a.d AS id1, b.d AS id2, count(*) AS both FROM tokens a JOIN tokens b ON a.t = b.t AND a.d < b.d GROUP BY 1, 2) SELECT id1, id2, round(both / (n1.n + n2.n - both), 6) AS similarity FROM s JOIN n n1 ON n1.d = id1 JOIN n n2 ON n2.d = id2 WHERE both / (n1.n + n2.n - both) >= 0.5")
+@query(f"WITH {TOKENS}, n AS (SELECT d, count(*) AS n FROM tokens GROUP BY d), s AS (SELECT a.d AS id1, b.d AS id2, count(*) AS shared FROM tokens a JOIN tokens b ON a.t = b.t AND a.d < b.d GROUP BY 1, 2) SELECT id1, id2, round(shared / (n1.n + n2.n - shared), 6) AS similarity FROM s JOIN n n1 ON n1.d = id1 JOIN n n2 ON n2.d = id2 WHERE shared / (n1.n + n2.n - shared) >= 0.5")
 def jaccard_exact(spark, d):
     return rounded(lsh.exact_join(tokens(spark, d), "d", "t"), "similarity")
 
@@ -384,7 +384,7 @@ def feat_parse(spark, d):
     )
 
 
-@query("SELECT p_partkey, regexp_replace('00' || p_partkey, '^0+', '') AS item FROM part")
+@query("SELECT p_partkey, regexp_replace('00' || p_partkey, '^0+([0-9])', '\\1') AS item FROM part")
 def feat_product_id(spark, d):
     return table(spark, d, "part").select("p_partkey", F.concat(F.lit("00"), F.col("p_partkey").cast("string")).alias("raw")).select("p_partkey", product_id("raw").alias("item"))
 
