@@ -13,9 +13,9 @@ Any zstandard decoder reads the whole file; `TokenFile` reads the seek table and
 the directory, then decompresses only the frames that hold the wanted documents.
 
 Tokens come from the tokenizers library. Its normaliser and splitter never join
-what white space separates, so words are encoded apart and remembered; an ASCII
-word is first cut by the vocabulary's own split pattern, which leaves fewer
-strings to encode. Tests hold this against encoding whole texts.
+what white space separates, so words are encoded apart and remembered; a word of
+European letters is first cut by the vocabulary's own split pattern, which leaves
+fewer strings to encode. Tests hold this against encoding whole texts.
 
 Cases: a null or empty text has the end id alone; rows with the same id are all
 kept, ordered by a hash of their text; a null id sorts first; texts of any length
@@ -34,6 +34,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ FRAME_IDS = 65_536
 SEEK_MAGIC, OWN_MAGIC, FOOTER_MAGIC = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 MARK = b"LODETOK1"
 ENTRY = np.dtype([("doc_id", "<i8"), ("there", "u1"), ("n_ids", "<i8")])
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 
 
 def _fs(uri: str):
@@ -167,8 +168,10 @@ class TokenFile:
             yield (doc_id if there else None), lo // 4, data[lo - base : hi - base]
 
 
-#: The split pattern of the vocabulary for lower-case ASCII (a fixed value of the file); white space as its normaliser sees it.
-ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
+#: The split pattern of the vocabulary (a fixed value of its file).
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Words of these characters are cut here: they are stable under NFC, and their case and classes are settled. All others go whole to the library.
+SETTLED = re.compile("[!-;=-~\xa1-\u017f]+")
 
 
 class Words:
@@ -192,10 +195,11 @@ class Words:
             new = list(words)
         if len(self.parts) > REMEMBERED:
             self.parts.clear()
-        simple = [w for w in new if w.isascii() and "<|" not in w]
-        cut = [ASCII_PARTS.findall(w.lower()) for w in simple]
+        settled = SETTLED.fullmatch
+        simple = [w for w in new if settled(w)]
+        cut = [PARTS.findall(w.lower()) for w in simple]
         parts = list(set().union(*cut).difference(self.parts))
-        other = [w for w in new if not w.isascii() or "<|" in w]
+        other = [w for w in new if not settled(w)]
         self.parts.update(zip(parts, self._library(parts), strict=True))
         part = self.parts.__getitem__
         self.words.update(zip(simple, [b"".join(map(part, c)) for c in cut], strict=True))

@@ -9,7 +9,7 @@ from lodespark.llm import tokenfile
 from lodespark.llm.catalogue import vocabulary
 
 PATH = vocabulary("word_bpe_49k.json")
-TEXTS = ["", None, "Hello, World! it's 42", "ÉTÉ naïve\tx\x0by   z", "a" * 3000, "<|endoftext|> x<|y", "don'T I'LL 'S ''s", "日本語 Ωσς", "word " * 5000, "\x1c\x1d a\x85b", "İSTANBUL ﬁ", "A\r\nB"]
+TEXTS = ["", None, "Hello, World! it's 42", "ÉTÉ naïve\tx\x0by   z", "a" * 3000, "<|endoftext|> x<|y", "don'T I'LL 'S ''s", "日本語 Ωσς", "word " * 5000, "\x1c\x1d a\x85b", "İSTANBUL ﬁ", "A\r\nB", "Ŀ·ŀ ŉ µ² ½x ªº Å Å ÷×¿ ß SS ſt İ\xa0x <3", "L'ÉTÉ'S ÀÉ\u0301 Ǆ"]
 
 
 def whole(text):
