@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodespark.llm import ctw, decontaminate, langid, neardup, pieces, quality, secretscan, substrings, template, tokenfile
 
@@ -34,7 +35,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("node")
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("node").withColumn("component", F.hex("component"))
 
 
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

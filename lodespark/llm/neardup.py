@@ -28,8 +28,10 @@ of word frequencies (BUCKETS numbers) reaches the driver.
 
 Cases: texts without words (null, empty, blank) are alone, class id their own id;
 rows with the same id stand for their own texts; a class takes the least id in it,
-null only when it has no other; ties in sampling go to the first shingle of the
-sorted ones; empty tables give an empty result; extra columns are left out.
+null only when it has no other; classes that share an id have the same class id
+and are told apart by component, the least MD5 among their texts (null for a text
+without words); ties in sampling go to the first shingle of the sorted ones; empty
+tables give an empty result; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -286,7 +288,7 @@ class _Texts:
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, class_id (the least id of the class), class_size, n_texts (different texts), node, for every row."""
+    """doc_id, class_id (the least id of the class), class_size, n_texts (different texts), node, component (the class itself), for every row."""
     docs = docs.select("doc_id", "text")
     idf = word_idf(docs)
     rows = written(signatures(docs, idf), "signatures")
@@ -305,16 +307,16 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         classes = connected_components(found, "u", "v")
     named = texts.nodes.select("node", "least_id", "copies").join(classes.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     about = named.groupBy("component").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("n_texts"))
-    by_node = named.select("node", "component").join(about, "component").select("node", "class_id", "class_size", "n_texts")
-    alone = rows.where("total = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"), F.lit(0).cast("bigint").alias("n_texts"), "node")
-    return rows.where("total > 0").select("doc_id", "node").join(by_node.hint("merge"), "node").select("doc_id", "class_id", "class_size", "n_texts", "node").unionByName(alone)
+    by_node = named.select("node", "component").join(about, "component").select("node", "component", "class_id", "class_size", "n_texts")
+    alone = rows.where("total = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"), F.lit(0).cast("bigint").alias("n_texts"), "node", F.lit(None).cast("binary").alias("component"))
+    return rows.where("total > 0").select("doc_id", "node").join(by_node.hint("merge"), "node").select("doc_id", "class_id", "class_size", "n_texts", "node", "component").unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The documents without all but one of each class: the least id stays, the least text of equals, once."""
     columns = docs.columns
     found = near_duplicates(docs, similar)
-    first = found.where("n_texts > 0").groupBy("class_id").agg(F.min(F.struct("doc_id", "node")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.node").alias("_node"))
+    first = found.where("n_texts > 0").groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.node").alias("_node"))
     keyed = docs.withColumn("_text", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     kept = keyed.join(first.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_node"))).dropDuplicates(["_id", "_node"])
     blank = docs.where(F.coalesce(F.length(F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))), F.lit(0)) == 0)

@@ -87,6 +87,18 @@ def test_odd_rows(spark):
     assert N.near_duplicates(docs.limit(0)).collect() == [] and N.one_of_each(docs.limit(0)).collect() == []
 
 
+def test_unrelated_texts_under_one_id(spark):
+    """Classes are told apart where their least id is the same or null."""
+    a, b, c, d, e = (" ".join(words(40)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (None, e), (9, e), (7, e + " more")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = [r.text for r in N.one_of_each(docs).collect()]
+    assert sorted(kept) == sorted([a, b, c, d, e])
+    found = N.near_duplicates(docs).collect()
+    assert len({r.component for r in found}) == 5 and None not in {r.component for r in found}
+    assert sorted((str(r.class_id), r.class_size) for r in found) == sorted([("None", 1), ("None", 2), ("None", 2), ("7", 1), ("7", 1), ("7", 3), ("7", 3), ("7", 3)])
+
+
 def test_draws_meet_as_often_as_texts_are_similar():
     rng = np.random.default_rng(1)
     s = np.unique(rng.integers(1, 1 << 63, 4000).astype(np.uint64))
