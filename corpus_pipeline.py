@@ -30,9 +30,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    hit = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.select(*COLUMNS).join(hit.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    """Documents without a benchmark passage; others under the same id stay."""
+    hit = decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_hit"), F.col("text_md5").alias("_text")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_hit")) & (F.unhex(F.md5("text")) == F.col("_text"))
+    return docs.select(*COLUMNS).join(hit.hint("merge"), same, "left_anti")
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

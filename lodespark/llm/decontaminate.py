@@ -17,8 +17,9 @@ most places of the documents from the shuffle; it is a filter only, and the join
 is exact whatever its fill.
 
 Cases: null and empty texts have no words and match nothing; a null document or
-item id is met by null-safe joins; documents with the same id are laid under each
-item one by one and give one row; items with fewer words than the shortest mask
+item id is met by null-safe joins; documents with the same id are told apart by
+their texts' MD5 and laid under each item one by one: `overlaps` gives a row for
+each text, `contaminated` one for the id; items with fewer words than the shortest mask
 are not searched for; empty tables give an empty result; extra columns are left
 out.
 """
@@ -53,13 +54,14 @@ def _seed_rows(masks: tuple[str, ...], bits: np.ndarray | None):
     def run(batches):
         for batch in batches:
             for part in grams.slices(batch, 1):
-                ids = part.column(0)
+                keys = [part.column(0), *part.columns[2:]]
                 for h, doc, place in seeds(part.column(1), masks):
                     if bits is not None:
                         at = (h >> np.uint64(64 - BITS)).astype(np.int64)
                         on = np.flatnonzero((bits[at >> 3] >> (at & 7)) & 1)
                         h, doc, place = h[on], doc[on], place[on]
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids.take(pa.array(doc)), pa.array(place.astype(np.int32))], ["h", "id", "place"])
+                    whose = pa.array(doc)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(place.astype(np.int32)), *[k.take(whose) for k in keys]], ["h", "place", "id", "digest"][: 2 + len(keys)])
 
     return run
 
@@ -88,7 +90,7 @@ def _verify(least: int, share: float):
     def run(batches):
         for batch in batches:
             rows = []
-            for doc_id, text, item_id, item, diagonals in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for doc_id, digest, text, item_id, item, diagonals in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 a = grams.word_hashes(pa.array([text], pa.string()), grams.PUNCTUATION, lower=True)[0]
                 b = grams.word_hashes(pa.array([item], pa.string()), grams.PUNCTUATION, lower=True)[0]
                 need = least if len(b) > least else len(b) - len(b) // 5
@@ -102,9 +104,9 @@ def _verify(least: int, share: float):
                         found = (n, -(lo + d + s), e - s, lo + s)
                         best = found if best is None or found > best else best
                 if best is not None:
-                    rows.append((doc_id, item_id, best[0], best[2], -best[1], best[3], len(b)))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], NAMES)
+                    rows.append((digest, doc_id, item_id, best[0], best[2], -best[1], best[3], len(b)))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), *[pa.array(c, pa.int64()) for c in columns[1:]]], ["text_md5", *NAMES])
 
     return run
 
@@ -112,17 +114,23 @@ def _verify(least: int, share: float):
 NAMES = ["doc_id", "item_id", "n_equal", "n_words", "doc_word", "item_word", "item_words"]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, least: int = LEAST, share: float = SHARE) -> DataFrame:
-    """One row for every document and benchmark item that overlap, with the longest overlap in words."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, least: int = LEAST, share: float = SHARE) -> DataFrame:
+    """text_md5 and the columns of NAMES: a row for every text and benchmark item that overlap; equal texts under one id give equal rows."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.unhex(F.md5("text")).alias("text_md5"))
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("item"))
-    rows = "h bigint, id bigint, place int"
+    rows = "h bigint, place int, id bigint"
     item_seeds = items.mapInArrow(_seed_rows(masks, None), rows).select("h", F.col("id").alias("item_id"), F.col("place").alias("item_place"))
-    doc_seeds = texts.mapInArrow(_seed_rows(masks, bit_set(item_seeds)), rows)
-    met = doc_seeds.join(item_seeds, "h").select("id", F.col("item_id").alias("_item"), (F.col("place") - F.col("item_place")).alias("d"))
-    pairs = met.groupBy("id", "_item").agg(F.collect_set("d").alias("diagonals"))
-    laid = pairs.join(texts.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id"))).join(items, F.col("_item").eqNullSafe(F.col("item_id")))
-    schema = ", ".join(f"{n} bigint" for n in NAMES)
-    found = laid.select("doc_id", "text", "item_id", "item", "diagonals").mapInArrow(_verify(least, share), schema)
+    doc_seeds = texts.mapInArrow(_seed_rows(masks, bit_set(item_seeds)), rows + ", digest binary")
+    met = doc_seeds.join(item_seeds, "h").select("id", "digest", F.col("item_id").alias("_item"), (F.col("place") - F.col("item_place")).alias("d"))
+    pairs = met.groupBy("id", "digest", "_item").agg(F.collect_set("d").alias("diagonals"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("digest") == F.col("text_md5"))
+    laid = pairs.join(texts.hint("merge"), same).join(items, F.col("_item").eqNullSafe(F.col("item_id")))
+    schema = "text_md5 binary, " + ", ".join(f"{n} bigint" for n in NAMES)
+    return laid.select("doc_id", "text_md5", "text", "item_id", "item", "diagonals").mapInArrow(_verify(least, share), schema)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, least: int = LEAST, share: float = SHARE) -> DataFrame:
+    """One row for every document id and benchmark item that overlap, with the longest overlap in words."""
+    found = overlaps(docs, benchmark, masks, least, share)
     best = F.max_by(F.struct(*NAMES[2:]), F.struct("n_equal", -F.col("doc_word"))).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")

@@ -36,6 +36,18 @@ def test_stages_follow_each_other(spark):
     assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, D).collect()} == want
 
 
+def test_clean_texts_stay_beside_a_hit(spark):
+    """A hit removes its own text, not all that stands under its id."""
+    passage = next(r.text for r in table(spark, D, "benchmark").orderBy("item_id").collect() if r.text and len(r.text.split()) > 20)
+    clean = [" ".join(f"{w}{i}" for i in range(30)) for w in "abc"]
+    rows = [(None, clean[0]), (None, "So: " + passage), (5, clean[1]), (5, passage + " end"), (None, None), (5, None), (6, clean[2]), (7, passage)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars int")
+    kept = corpus_pipeline.decontamination(spark, docs, D)
+    assert kept.columns == docs.columns
+    want = [(None, clean[0]), (5, clean[1]), (None, None), (5, None), (6, clean[2])]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
 def test_empty_table(spark):
     docs = table(spark, D, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
