@@ -13,9 +13,10 @@ that holds their mean place, as what repeats there. Gaps are the slots.
 A slot is wanted when its path leads into the article and through no menu,
 header, footer, sidebar, notice, advert, form, comment section, script or style;
 where no slot is in an article element, all others of the body are wanted. A
-page's text is what its wanted slots hold. Text that is itself part of the frame
-on every page of a host with CONSTANT_PAGES pages or more is template, not
-article. Elements of the unwanted kinds inside a slot are left out on each page.
+page's text is what its wanted slots hold. Text outside article elements that is
+itself part of the frame on every page of a host with CONSTANT_PAGES different
+pages or more is template; copies of one page don't tell its text from the frame,
+and what stands in an article is always kept. Elements of the unwanted kinds inside a slot are left out on each page.
 Hosts without a template (one page) take that of all pages together.
 
 Blocks are cut by every element that isn't inline; br is white space.
@@ -160,24 +161,31 @@ def templates(pages: DataFrame) -> DataFrame:
     by_host = written(tokens.groupBy("host", "token").agg(*measures), "tokens")
     folded = [F.bit_xor("x").alias("x"), F.sum("low").alias("low"), F.sum("pages").alias("pages"), F.min("least").alias("least"), F.max("most").alias("most"), F.sum("place").alias("place")]
     everywhere = by_host.groupBy(F.lit("*").alias("host"), "token").agg(*folded)
-    sizes = pages.groupBy("host").agg(F.count("*").alias("total"))
-    total = sizes.agg(F.lit("*").alias("host"), F.sum("total").alias("total"))
-    common = by_host.unionByName(everywhere).join(sizes.unionByName(total).where("total > 1"), "host").where(2 * F.col("pages") > F.col("total"))
+    contents = pages.groupBy("host", F.xxhash64(F.coalesce("html", F.lit(""))).alias("content")).agg(F.count("*").alias("n"))
+    measured = [F.sum("n").alias("total"), F.count("*").alias("different")]
+    sizes = contents.groupBy("host").agg(*measured)
+    total = contents.groupBy("content").agg(F.sum("n").alias("n")).agg(F.lit("*").alias("host"), *measured)
+    sizes = written(sizes.unionByName(total).where("total > 1"), "sizes")
+    common = by_host.unionByName(everywhere).join(sizes, "host").where(2 * F.col("pages") > F.col("total"))
     member = F.struct((F.col("place") / F.col("pages")).alias("place"), "token")
-    classes = common.groupBy("host", "total", "x", "low", "pages").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sort_array(F.collect_list(member)).alias("tokens"))
+    classes = common.groupBy("host", "total", "different", "x", "low", "pages").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sort_array(F.collect_list(member)).alias("tokens"))
     valid = classes.where(F.size("tokens") >= LEAST_TOKENS)
-    found = valid.groupBy("host", "total").agg(F.collect_list(F.struct("pages", "least", "most", "tokens")).alias("classes"))
+    found = valid.groupBy("host", "total", "different").agg(F.collect_list(F.struct("pages", "least", "most", "tokens")).alias("classes"))
     return found.mapInArrow(_template_rows, "host string, template string")
 
 
 def _template_rows(batches):
     for batch in batches:
-        rows = [(h, json.dumps(deduce(c, n))) for h, n, c in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
+        rows = [(h, json.dumps(deduce(c, n, d))) for h, n, d, c in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(2)], ["host", "template"])
 
 
-def deduce(classes: list[dict], total: int) -> dict:
-    """The frame in page order, a verdict for each of its gaps, what repeats in a gap, and the frame's constant text."""
+def deduce(classes: list[dict], total: int, different: int | None = None) -> dict:
+    """The frame in page order, a verdict for each of its gaps, what repeats in a gap, and the frame's constant text.
+
+    different: the number of different pages among the total, all of them where it isn't given.
+    """
+    different = total if different is None else different
     single = sorted((c for c in classes if c["least"] == c["most"] == 1), key=lambda c: (-c["pages"], -len(c["tokens"])))
     if not single:
         return {}
@@ -187,7 +195,7 @@ def deduce(classes: list[dict], total: int) -> dict:
         kind, path, what = token.split(" ", 2)
         path = tuple(path.split("/")) if path else ()
         if kind == "text":
-            if single[0]["pages"] == total >= CONSTANT_PAGES:
+            if single[0]["pages"] == total and different >= CONSTANT_PAGES and not _in_article(path):
                 constant.append(token)
             continue
         frame.append(token)

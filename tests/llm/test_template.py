@@ -39,6 +39,27 @@ def test_layouts_and_odd_rows(spark):
     assert T.main_text(df.limit(0)).collect() == []
 
 
+def test_copies_and_shared_paragraphs_keep_their_text(spark):
+    """Eight copies of one page, or one paragraph in all articles of a host, come out as seven would."""
+
+    def page(i, tag):
+        return f"<html><head><title>T</title></head><body><div>Frame line</div><{tag}><h1>Head</h1><p>Shared words</p><p>Own {i}</p></{tag}></body></html>"
+
+    rows = [site(n * 100 + i, page(0, "article"), f"copies{n}.example") for n in (7, 8) for i in range(n)]
+    rows += [site(2000 + n * 100 + i, page(0, "div"), f"plain{n}.example") for n in (7, 8) for i in range(n)]
+    rows += [site(4000 + n * 100 + i, page(i, "article"), f"shared{n}.example") for n in (7, 8) for i in range(n)]
+    rows += [site(6000 + i, page(i, "div"), "frame.example") for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, host int")
+    got = {r.page_id: r.text for r in T.main_text(df).collect()}
+    for n in (7, 8):
+        for i in range(n):
+            assert got[n * 100 + i] == "Head\nShared words\nOwn 0"
+            assert got[2000 + n * 100 + i] == "Frame line\nHead\nShared words\nOwn 0"
+            assert got[4000 + n * 100 + i] == f"Head\nShared words\nOwn {i}"
+    # with different pages, what stands on all of them outside an article is still the frame's
+    assert all(got[6000 + i] == f"Own {i}" for i in range(8))
+
+
 def test_equal_vectors_make_classes():
     tokens = [{"place": float(i), "token": t} for i, t in enumerate(["open  body", "open body article", "close body article", "close  body"])]
     rep = [{"place": 1.4, "token": "open body/article p"}, {"place": 1.5, "token": "close body/article p"}, {"place": 1.6, "token": "open body/article hr"}]
