@@ -426,16 +426,15 @@ def ridge_gram(spark, d):
 
 @query()
 def gbt_predict(spark, d):
-    """Boosted residuals with the first model's trees; 20 rounds here, as each is a pass over the data."""
+    """Boosted residuals of the first model, all rounds; each is a pass over the data."""
     train, hold = held_out(spark, d)
-    p = stack.BoostParams(**(stack.FIRST.__dict__ | {"rounds": 20, "eta": 0.1}))
-    return stack.boosted_residuals(train, hold, p, reliance="tail").select("u", "b", "prediction")
+    return stack.boosted_residuals(train, hold, stack.FIRST, reliance="tail").select("u", "b", "prediction")
 
 
 @query()
 def stack_predict(spark, d):
     train, hold = held_out(spark, d)
-    return stack.stacked(train, hold, stack.BoostParams(**(stack.SECOND.__dict__ | {"rounds": 10, "eta": 0.1})))
+    return stack.stacked(train, hold, stack.SECOND)
 
 
 # --- graphs ----------------------------------------------------------------------

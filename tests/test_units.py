@@ -197,3 +197,15 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out"), wholetext=True).first()[0] == "Candidates:\n('a'),('b')\n\n('a', 'b')\n\nFrequent Itemsets:\n"
     b = spark.createDataFrame([("u", "v", 0.5), ("a", "b", 2.0)], "src string, dst string, betweenness double")
     assert [r.value for r in writers.betweenness_lines(b).collect()] == ["('a', 'b'), 2.00000", "('u', 'v'), 0.50000"]
+
+
+def test_registered_models_have_production_parameters(spark, monkeypatch):
+    from lodespark.plans import catalogue
+
+    seen = []
+    monkeypatch.setattr(catalogue, "held_out", lambda *_: (None, None))
+    monkeypatch.setattr(stack, "boosted_residuals", lambda a, b, p, **k: seen.append(p) or spark.range(0).selectExpr("id AS u", "id AS b", "id AS prediction"))
+    monkeypatch.setattr(stack, "stacked", lambda a, b, p: seen.append(p))
+    catalogue.QUERIES["gbt_predict"](spark, "")
+    catalogue.QUERIES["stack_predict"](spark, "")
+    assert seen == [stack.FIRST, stack.SECOND]
