@@ -48,10 +48,10 @@ ADDED = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35,}"),
     Rule("stripe", r"[rs]k_live_[0-9A-Za-z]{16,}"),
-    Rule("private", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"),
+    Rule("private", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Rule("bearer", r"(?i:bearer)\x20+[A-Za-z0-9._~+/-]{20,}"),
-    Rule("login", r"://[^\s/:@]{1,64}:[^\s/:@]{1,64}@"),
+    Rule("login", r"://[^\s/:@]+:[^\s/:@]+@"),
 )
 RULES = BASE + ADDED
 #: Trigrams in one bit set.

@@ -68,3 +68,11 @@ def test_oracle_agrees(spark):
     want = duckdb.connect().execute(secretscan.oracle().replace("FROM documents", f"FROM '{d}/documents.parquet'")).fetchall()
     got = secretscan.secret_report(table(spark, d, "documents")).collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_long_logins_and_key_names(spark):
+    word = "pass-word!" * 9
+    rows = [(1, f"see http://{'u' * 70}:{word}@host/x now"), (2, f"-----BEGIN {'VERY LONG ' * 4}PRIVATE KEY-----"), (3, f"http://user{'/' + word}")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in secretscan.masked(docs).collect()}
+    assert got == {1: "see http[SECRET]host/x now", 2: "[SECRET]", 3: rows[2][1]}
