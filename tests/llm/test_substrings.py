@@ -1,7 +1,9 @@
+import os
 import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from lodespark.llm import substrings as S
 
@@ -28,11 +30,12 @@ def brute_chunks(text):
 
 def test_chunks_follow_the_definition():
     texts = [prose(60), None, "", "a", prose(3), "x" * 300, prose(40) + "日本語" * 30]
-    doc, number, digest, start, end, size = S.chunks(pa.array(texts))
+    doc, number, digest, start, end, size, begin = S.chunks(pa.array(texts))
     for i, t in enumerate(texts):
         mine = [t[a:b] for a, b in zip(start[doc == i], end[doc == i])] if t else []
         assert mine == (brute_chunks(t) if t else []) and number[doc == i].tolist() == list(range(len(mine)))
         assert [len(x.encode()) for x in mine] == size[doc == i].tolist()
+        assert not mine or [len("".join(mine[:k]).encode()) for k in range(len(mine))] == (begin[doc == i] - begin[doc == i][0]).tolist()
 
 
 def test_an_insertion_moves_few_cuts():
@@ -52,13 +55,54 @@ def test_repeats_are_found_and_clean_texts_left(spark):
     rows += [(400, line), (400, line), (None, line)]
     docs = spark.createDataFrame([(i, t, 0, 0) for i, t in rows], "doc_id bigint, text string, t int, number int").repartition(4)
     got = S.repeated_runs(docs).collect()
+    # the earlier of two documents depends on the hash of the text only where ids are equal
     assert {(r.doc_id, r.first_doc_id) for r in got if r.doc_id is not None and 100 <= r.doc_id < 200} == {(100 + i, i) for i in range(40)}
     assert {r.doc_id for r in got} == {*range(100, 140), 302, 400} and {r.first_doc_id for r in got if r.doc_id == 400} == {None}
     for r in got:
         if 100 <= r.doc_id < 140:
-            t = dict(rows)[r.doc_id]
-            assert t[r.start : r.end] in passages[r.doc_id - 100]
+            found = dict(rows)[r.doc_id][r.start : r.end]
+            assert passages[r.doc_id - 100] in found and len(found) <= len(passages[r.doc_id - 100]) + 4 and r.n_words >= 51
     clean = {r.doc_id: r.text for r in S.without_repeats(docs).where("doc_id < 300").collect()}
-    assert all(clean[i] == t for i, t in rows[:40]) and len(clean[105]) < len(rows[45][1]) - 140
+    assert all(clean[i] == t for i, t in rows[:40]) and not any(p in clean[100 + i] for i, p in enumerate(passages))
     assert S.repeated_runs(docs.limit(0)).collect() == []
     assert np.all(S._least_of(np.array([5, 3, 9, 1], np.uint32), 2)[:3] == [3, 3, 1])
+
+
+def brute(docs, most):
+    """Maximal stretches of over `most` whole words that stand in an earlier document, character by character."""
+    found = set()
+    for k, (i, t) in enumerate(docs):
+        for _, e in docs[:k]:
+            for a in range(len(t)):
+                for b in [x for x in range(len(e)) if e[x] == t[a] and (a == 0 or x == 0 or e[x - 1] != t[a - 1])]:
+                    n = len(os.path.commonprefix([t[a:], e[b:]]))
+                    s = t[a : a + n]
+                    whole = len(s.split()) - (a > 0 and not t[a - 1].isspace() and not s[:1].isspace()) - (a + n < len(t) and not t[a + n].isspace() and not s[-1:].isspace())
+                    if whole > most:
+                        found.add((i, a, a + n, whole))
+    return found
+
+
+def test_short_words_wide_characters_and_thresholds(spark):
+    """Passages of short words (101 bytes and up) are found as a whole; fifty words aren't over fifty; ends are exact."""
+    few = [" ".join(random.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n)) for n in (51, 51, 52, 53, 70)]
+    even = [prose(50), prose(51), prose(49), " ".join(random.choice(["日本", "é", "ñandú", "ж"]) + random.choice("abcdeé") for _ in range(60))]
+    rows = [(i, prose(8) + "\t" + p + "\t" + prose(8)) for i, p in enumerate(few + even)]
+    rows += [(50 + i, "日" + prose(5) + "\t" + p + "\t" + "é" + prose(4)) for i, p in enumerate(few + even)]
+    rows += [(90, few[4]), (91, even[1] + " "), (92, " " + even[1])]
+    got = {(r.doc_id, r.start, r.end, r.n_words) for r in S.repeated_runs(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    want = brute(rows, 50)
+    assert {(i, n) for i, _, _, n in got} == {(i, n) for i, _, _, n in want}
+    assert {i for i, *_ in got} == {50, 51, 52, 53, 54, 56, 58, 90, 91, 92}
+    assert got <= want
+
+
+def test_a_frequent_passage_and_a_very_long_text(spark):
+    """One passage in a third of all documents, another thousands of times in one text, over several blocks."""
+    line, own = prose(80), prose(60)
+    rows = [(i, prose(30) + " " + (line if i % 3 == 0 else prose(5))) for i in range(1500)] + [(5000, (own + "\n") * 3000), (6000, prose(10) + " " + own)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    got = S.repeated_runs(docs).select("doc_id", "n_words").collect()
+    assert sorted(r.doc_id for r in got) == [*range(3, 1500, 3), 6000] and min(r.n_words for r in got) >= 60
+    ids = docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))
+    assert S.repeated_runs(ids).where("doc_id = 'd6000'").count() == 1
