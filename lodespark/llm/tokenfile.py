@@ -38,13 +38,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodespark.llm.memory import Generations
 from lodespark.session import scratch_path
 
 FRAME_IDS = 65_536
 SEEK_MAGIC, OWN_MAGIC, FOOTER_MAGIC = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 MARK = b"LODETOK1"
 ENTRY = np.dtype([("doc_id", "<i8"), ("there", "u1"), ("n_ids", "<i8")])
-REMEMBERED = 500_000
 
 
 def _fs(uri: str):
@@ -168,10 +168,13 @@ class TokenFile:
             yield (doc_id if there else None), lo // 4, data[lo - base : hi - base]
 
 
-#: The split pattern of the vocabulary (a fixed value of its file).
-PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Words of these characters are cut here: they are stable under NFC, and their case and classes are settled. All others go whole to the library.
-SETTLED = re.compile("[!-;=-~\xa1-\u017f]+")
+#: The split pattern of the vocabulary (a fixed value of its file), and the characters of its classes up to U+017F and in their small letters.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTERS, _NUMBERS = ("".join(regex.findall(rf"\p{{{k}}}", "".join(map(chr, [*range(0x80, 0x180), 0x307])))) for k in "LN")
+PARTS = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zA-Z{_LETTERS}]+|[0-9{_NUMBERS}]|[^\sa-zA-Z{_LETTERS}0-9{_NUMBERS}]+")
+#: Words of other characters than these go whole to the library. Words of these are cut here: they are stable under NFC, and their case and classes are settled.
+UNSETTLED = re.compile("[^\n]*[^\n!-;=-~\xa1-\u017f][^\n]*")
+_END_OF_WORD = b"\xff\xff\xff\xff"
 
 
 class Words:
@@ -181,34 +184,41 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words, self.parts = Generations(1), Generations(1, 48 << 20)
 
     def _library(self, strings: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [struct.pack(f"<{len(i)}I", *i) for i in (e.ids for e in found)]
+
+    def _cut(self, words: list[str]) -> list[bytes]:
+        """Settled words by their parts: one search over all of them, in which a line is a word."""
+        parts = PARTS.findall("\n".join(words).lower())
+        new = self.parts.missing(set(parts))
+        if "\n" in new:
+            new.remove("\n")
+            self.parts.add(["\n"], [_END_OF_WORD])
+        self.parts.add(new, self._library(new))
+        ids = b"".join(map(self.parts.recent[0].__getitem__, parts))
+        ends = (4 * np.flatnonzero(np.frombuffer(ids, "<u4") == 0xFFFFFFFF)).tolist()
+        return [ids[a:b] for a, b in zip([0, *[e + 4 for e in ends]], [*ends, len(ids)], strict=True)]
 
     def learn(self, words: set[str]) -> None:
-        new = list(words.difference(self.words))
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words.clear()
-            new = list(words)
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
-        settled = SETTLED.fullmatch
-        simple = [w for w in new if settled(w)]
-        cut = [PARTS.findall(w.lower()) for w in simple]
-        parts = list(set().union(*cut).difference(self.parts))
-        other = [w for w in new if not settled(w)]
-        self.parts.update(zip(parts, self._library(parts), strict=True))
-        part = self.parts.__getitem__
-        self.words.update(zip(simple, [b"".join(map(part, c)) for c in cut], strict=True))
-        self.words.update(zip(other, self._library(other), strict=True))
+        words.discard("")
+        new = self.words.missing(words)
+        whole = set(UNSETTLED.findall("\n".join(new)))
+        settled = [w for w in new if w not in whole] if whole else new
+        if settled:
+            self.words.add(settled, self._cut(settled))
+        if whole:
+            whole = list(whole)
+            self.words.add(whole, self._library(whole))
 
     def encode(self, texts: list[str], end_id: int | None) -> list[bytes]:
         docs = [t.replace("\n", " ").split(" ") for t in texts]
         self.learn(set().union(*docs))
-        word, end = self.words.__getitem__, b"" if end_id is None else struct.pack("<I", end_id)
+        known, end = self.words.recent[0], b"" if end_id is None else struct.pack("<I", end_id)
+        known[""] = b""
+        word = known.__getitem__
         return [b"".join(map(word, d)) + end for d in docs]
 
 
