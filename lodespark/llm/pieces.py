@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodespark.llm.memory import Generations
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 #: Units up to this many symbols are merged side by side in arrays; longer ones use the heap.
 WIDE = 40
-#: Remembered units in each Python worker; beyond that the memory starts afresh.
-REMEMBERED = 400_000
 
 
 def _fields(data: bytes):
@@ -307,20 +307,14 @@ class Memory:
 
     def __init__(self, path: str):
         self.model, self.judge = merge_model(path), library(path)
-        self.ids: dict[str, str] = {}
-        self.text: dict[str, str] = {}
+        self.known = Generations(2)
 
     def learn(self, units: set[str]) -> None:
-        new = list(units.difference(self.ids))
-        if len(self.ids) + len(new) > REMEMBERED:
-            self.ids.clear()
-            self.text.clear()
-            new = list(units)
+        new = self.known.missing(units)
         found = self.model.side_by_side(new)
         self._check(new, found)
         decimal, decode = self.model.decimal, self.model.decode_unit
-        self.ids.update(zip(new, [",".join([decimal[i] for i in ids]) for ids in found], strict=True))
-        self.text.update(zip(new, map(decode, found), strict=True))
+        self.known.add(new, [",".join([decimal[i] for i in ids]) for ids in found], list(map(decode, found)))
 
     def _check(self, units: list[str], found: list[list[int]]) -> None:
         """The library adds the first space mark itself, so a unit is handed over without it."""
@@ -353,7 +347,7 @@ def encoder(path: str, keep_ids: bool, keep_text: bool):
                 units = [memory.model.units(t) for t in texts]
                 memory.learn(set().union(*units))
                 n, ids_sha, text_sha, ids_out, text_out = [], [], [], [], []
-                ids_of, text_of = memory.ids.__getitem__, memory.text.__getitem__
+                ids_of, text_of = (known.__getitem__ for known in memory.known.recent)
                 for doc in units:
                     ids = ",".join(map(ids_of, doc))
                     text = "".join(map(text_of, doc))
