@@ -6,9 +6,12 @@ language, and the document's probabilities are the mean over all its bytes.
 Windows of WINDOW bytes cover the whole text. The network is trained here, in
 numpy, by backpropagation through time on the labels of single positions.
 
-Training takes at most PER_LANGUAGE labelled documents of each language, chosen
-by a hash of their id, and SNIPPETS short pieces of each: a documented bound, the
-same at every corpus size. Prediction sees the text alone.
+Training takes at most PER_LANGUAGE labelled documents of each language, those
+with the least hashes of id and text; equal rows count once. That bound on rows is
+the same at every corpus size and holds whatever ids repeat: of rows whose hash is
+low enough, every task keeps its own least ones, and these are brought together. Chosen texts are
+learned from over their whole length; a step of training draws its windows from
+all of theirs, each document alike. Prediction sees the text alone.
 
 Cases: a null text, or one without any letter, is `und` with score 0; so is every
 text when no labelled document can be learned from; a null id counts as remainder
@@ -21,13 +24,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodespark.llm import grams
 
 HIDDEN, WINDOW = 8, 160
-PER_LANGUAGE, SNIPPETS, SNIPPET = 400, 4, 120
+PER_LANGUAGE = 400
 STEPS, BATCH, TRAIN_WINDOW, RATE = 260, 256, 64, 0.02
 PAD = 256
 _LETTER = regex.compile(r"\p{L}")
@@ -120,18 +123,22 @@ def windows_of(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.nda
 
 
 def train(texts: list[str], labels: list[int], n_langs: int, steps: int = STEPS, seed: int = 17) -> dict[str, np.ndarray]:
-    """Adam on windows of the texts, the languages drawn in equal parts."""
+    """Adam on windows of the texts: languages in equal parts, then documents, then any window of the whole document."""
     rng = np.random.default_rng(seed)
-    x, doc = windows_of(*grams.flat(pa.array(texts, pa.string())), TRAIN_WINDOW)
-    y = np.array(labels)[doc]
-    by = [np.flatnonzero(y == k) for k in range(n_langs)]
+    data, offsets = grams.flat(pa.array(texts, pa.string()))
+    sizes, y = np.diff(offsets), np.array(labels)
+    padded = np.append(data.astype(np.int16), np.int16(PAD))
+    by = [np.flatnonzero((y == k) & (sizes > 0)) for k in range(n_langs)]
     by = [b for b in by if len(b)]
     p = _init(n_langs, rng)
     m, v = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}
     each = max(1, BATCH // max(1, len(by)))
     for step in range(1, steps + 1):
         pick = np.concatenate([b[rng.integers(0, len(b), each)] for b in by])
-        _, g = loss_and_gradient(p, np.ascontiguousarray(x[pick].T), y[pick])
+        nth = (rng.random(len(pick)) * -(-sizes[pick] // TRAIN_WINDOW)).astype(np.int64)
+        at = (offsets[pick] + nth * TRAIN_WINDOW)[:, None] + np.arange(TRAIN_WINDOW)
+        x = padded[np.where(at < offsets[pick + 1][:, None], at, len(data))]
+        _, g = loss_and_gradient(p, np.ascontiguousarray(x.T), y[pick])
         rate = RATE * (1 - 0.9 * step / steps)
         for k in p:
             m[k] = 0.9 * m[k] + 0.1 * g[k]
@@ -199,26 +206,44 @@ class Reader:
         return total / np.maximum(np.diff(offsets), 1)[:, None]
 
 
-def sample(docs: DataFrame, learn) -> tuple[list[str], list[int], list[str]]:
-    """(pieces of text, their languages, names of the languages) from a bounded number of labelled rows."""
+def _least_rows(per_language: int):
+    """A task's rows with the least places of each language; equal texts of a language once."""
+
+    def run(batches):
+        held: dict[str, dict[int, str]] = {}
+        worst: dict[str, int] = {}
+        for batch in batches:
+            for i, (lang, place) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if place >= worst.get(lang, 1 << 63):
+                    continue
+                own = held.setdefault(lang, {})
+                own[place] = batch.column(2)[i].as_py()
+                if len(own) > per_language:
+                    del own[max(own)]
+                if len(own) == per_language:
+                    worst[lang] = max(own)
+        rows = [(lang, place, text) for lang, own in held.items() for place, text in own.items()]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string()), strict=True)], ["lang", "place", "text"])
+
+    return run
+
+
+def sample(docs: DataFrame, learn, per_language: int = PER_LANGUAGE) -> tuple[list[str], list[int], list[str]]:
+    """(texts, their languages, names of the languages) of at most `per_language` labelled rows of each language."""
     rows = docs.where(learn & F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    names = sorted(counts)
-    if not names:
+    placed = rows.select("lang", F.xxhash64("doc_id", "text").alias("place"), "text")
+    # some twice as many as wanted lie below this place, so that what meets in one task stays small however many tasks there are
+    different = {r.lang: r.n for r in placed.groupBy("lang").agg(F.approx_count_distinct("place").alias("n")).collect()}
+    if not different:
         return [], [], []
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    share = F.element_at(F.create_map(*[F.lit(x) for k in names for x in (k, int(min(1.0, 1.3 * PER_LANGUAGE / counts[k]) * (1 << 30)))]), F.col("lang"))
-    step = F.floor(F.length("text") / SNIPPETS).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), F.lit(SNIPPETS - 1)), lambda i: F.substring(F.col("text"), i * step + 1, F.lit(SNIPPET)))
-    got = rows.where(place < share).select("lang", place.alias("place"), "doc_id", pieces.alias("pieces")).collect()
-    got.sort(key=lambda r: (r.place, r.doc_id or 0, r.pieces))
-    texts, labels, used = [], [], dict.fromkeys(names, 0)
-    for r in got:
-        if used[r.lang] < PER_LANGUAGE:
-            used[r.lang] += 1
-            texts += [x for x in r.pieces if x]
-            labels += [names.index(r.lang)] * sum(bool(x) for x in r.pieces)
-    return texts, labels, names
+    below = {k: -(1 << 63) + min((1 << 64) - 1, (2 * per_language + 200) * (1 << 64) // n) for k, n in different.items()}
+    top = F.element_at(F.create_map(*[F.lit(x) for k, v in below.items() for x in (k, v)]), F.col("lang"))
+    few = placed.where(F.col("place") <= top).mapInArrow(_least_rows(per_language), "lang string, place bigint, text string")
+    best = Window.partitionBy("lang").orderBy("place")
+    got = few.dropDuplicates(["lang", "place"]).withColumn("n", F.row_number().over(best)).where(F.col("n") <= per_language).orderBy("lang", "place").collect()
+    names = sorted({r.lang for r in got})
+    return [r.text for r in got], [names.index(r.lang) for r in got], names
 
 
 def _predict_rows(shared):

@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from lodespark.llm import langid as L
 from lodespark.llm.catalogue import table
@@ -57,3 +58,24 @@ def test_held_out_accuracy_and_odd_rows(spark):
     none = L.identify(odd.selectExpr("doc_id", "text", "cast(null as string) lang"))
     assert {r.lang_pred for r in none.collect()} == {"und"}
     assert L.identify(both.limit(0)).collect() == []
+
+
+def test_the_sample_is_bounded_whatever_ids_repeat(spark):
+    """20,000 labelled rows under one null id, clashing columns, and equal rows: at most so many rows a language, each text once."""
+    rows = [(None, f"text number {i % 7000} of many", "en" if i % 2 else "fr", i, 0.5) for i in range(20_000)] + [(5, "seul", "es", 1, 0.1)] * 50
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, place int, score double").repartition(7)
+    texts, labels, names = L.sample(docs, F.lit(True), 60)
+    assert names == ["en", "es", "fr"] and [labels.count(k) for k in range(3)] == [60, 1, 60]
+    assert len({(t, k) for t, k in zip(texts, labels)}) == 121
+    again = L.sample(docs.repartition(3), F.lit(True), 60)
+    assert again == (texts, labels, names)
+    got = L.identify(docs).where("doc_id IS NULL").limit(5).collect()
+    assert all(r.lang_pred in names and r.held_out is False for r in got)
+
+
+def test_training_sees_whole_texts():
+    """Only the far ends of the texts tell the two languages apart."""
+    texts = ["x" * 6400 + "abab" * 1600, "x" * 6400 + "cdcd" * 1600]
+    p = L.train(texts * 3, [0, 1] * 3, 2, steps=120)
+    q = L.Reader(p).documents(pa.array(["abab" * 60, "cdcd" * 60]))
+    assert q[0, 0] > 0.9 and q[1, 1] > 0.9
