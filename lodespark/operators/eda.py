@@ -52,3 +52,21 @@ def error_histogram(df: DataFrame, predicted: str, actual: str) -> DataFrame:
     """Pairs by absolute error: [0,1), [1,2), [2,3), [3,4), 4 and more."""
     bin_ = F.least(F.floor(F.abs(F.col(predicted) - F.col(actual))), F.lit(4)).cast("int")
     return df.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def top_collected(counts: DataFrame, key: str, n: str, k: int) -> list[tuple]:
+    """The k largest counts, ties by key, chosen on the driver among each task's own k: at most k rows a task get there."""
+    import heapq
+
+    import pyarrow as pa
+
+    def own(batches):
+        best: list[tuple] = []
+        for batch in batches:
+            rows = zip(*[c.to_pylist() for c in batch.columns], strict=True)
+            best = heapq.nsmallest(k, [*best, *rows], key=lambda r: (-r[1], r[0]))
+        columns = list(zip(*best, strict=True)) if best else [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64())], ["key", "n"])
+
+    each = counts.select(F.col(key).cast("string").alias("key"), F.col(n).cast("bigint").alias("n")).mapInArrow(own, "key string, n bigint").collect()
+    return heapq.nsmallest(k, [(r.key, r.n) for r in each], key=lambda r: (-r[1], r[0]))

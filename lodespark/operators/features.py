@@ -110,6 +110,87 @@ def tip_features(tips: DataFrame, key: str, half_life: float = 180.0, recent_day
     )
 
 
+#: What a column is for an entity that has no record, where that isn't 0.
+MISSING = {"b_noise_level": 1.0}
+
+
+def tip_aggregates(tips: DataFrame, half_life: float = 180.0, recent_days: int = 365) -> DataFrame:
+    """(kind, id, tip_count, tip_sentiment, tip_decayed, tip_recent) for businesses (B) and users (U) in one pass.
+
+    Only tips with both ids and a valid date count. Now is the latest date of all, or 2019-01-01.
+    """
+    now = tips.agg(F.coalesce(F.max(S.date_ordinal("date")), S.date_ordinal(F.lit("2019-01-01"))).alias("now"))
+    whole = tips.withColumn("day", S.date_ordinal("date")).where("business_id IS NOT NULL AND user_id IS NOT NULL AND day IS NOT NULL")
+    rows = whole.select("business_id", "user_id", "day", S.tip_sentiment("text")["sentiment"].alias("s")).join(F.broadcast(now))
+    sides = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("id")) for k, c in (("B", "business_id"), ("U", "user_id"))])
+    age = F.greatest(F.col("now") - F.col("day"), F.lit(0))
+    tagged = rows.select(F.explode(sides).alias("of"), "s", (F.col("s") * S.decay(age, half_life)).alias("d"), (age <= recent_days).cast("double").alias("r"))
+    return tagged.groupBy("of.kind", "of.id").agg(F.count("*").cast("double").alias("tip_count"), F.avg("s").alias("tip_sentiment"), F.sum("d").alias("tip_decayed"), F.sum("r").alias("tip_recent"))
+
+
+COMPLIMENTS = "hot profile list note plain cool funny writer photos".split()
+
+
+def plain_user_features(users: DataFrame) -> DataFrame:
+    """The third model's projection of user records: counts as they are."""
+    number = lambda c, name=None: S.make_float(c).alias("u_" + (name or c))
+    return users.where("user_id IS NOT NULL").select(
+        "user_id", number("review_count"), S.count_items("friends").cast("double").alias("u_friends"), *[number(c) for c in ("useful", "funny", "cool", "fans")],
+        S.count_items("elite").cast("double").alias("u_elite"), number("average_stars"), *[number(f"compliment_{k}") for k in COMPLIMENTS],
+    )
+
+
+def plain_business_features(businesses: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
+    """The third model's projection of business records, with a column for every group of categories."""
+    attribute = lambda k: F.col("attributes")[k]
+    *flags, size = S.one_hot(S.list_items("categories"), groups)
+    return businesses.where("business_id IS NOT NULL").select(
+        "business_id", *[S.make_float(c).alias(f"b_{c}") for c in ("stars", "review_count", "latitude", "longitude")], S.make_float(attribute("RestaurantsPriceRange2")).alias("b_price_range"),
+        *[S.parse_bool(attribute(k)).alias(f"b_{n}") for n, k in (("credit_card", "BusinessAcceptsCreditCards"), ("appointment_only", "ByAppointmentOnly"), ("reservations", "RestaurantsReservations"), ("table_service", "RestaurantsTableService"), ("wheelchair", "WheelchairAccessible"))],
+        size.alias("b_num_categories"), *flags,
+    )
+
+
+# Column orders of the three models' rows over the joined tables (fixed values).
+FIRST_ROW = {
+    "u_n_log": "u_n_log", "b_n_log": "b_n_log", "u_mean": "u_mean", "b_mean": "b_mean", "u_average_stars": "u_average_stars", "u_review_count_log": "u_review_count_log", "u_fans_log": "u_fans_log",
+    "u_useful_log": "u_useful_log", "b_stars": "b_stars", "b_review_count_log": "b_review_count_log", "b_is_open": "b_is_open", "b_price": "b_price", "b_hours_n": "b_hours_n", "b_stars_centred": "b_stars - mu",
+    "b_hours_log": "ln(1 + b_hours_n)", "b_price_squared": "b_price * b_price", "stars_gap": "u_average_stars - b_stars", "b_state_pop_log": "b_state_pop_log", "b_checkins_root": "sqrt(greatest(0.0D, b_checkins_total))",
+    "b_tips_log": "0.8D * ln(1 + b_tip_count)", "b_noise_level": "b_noise_level", "b_takeout": "b_takeout", "u_elite_count": "u_elite_count",
+}
+SECOND_ROW = {
+    **{k: FIRST_ROW[k] for k in ("u_n_log", "b_n_log", "u_mean", "b_mean", "u_average_stars", "u_review_count_log", "u_fans_log", "u_useful_log")},
+    "u_trust": "u_trust", "u_text_count": "u_text_count", "u_text_len_log": "ln(1 + u_text_avg_len)", "u_pos": "u_pos", "u_neg": "u_neg",
+    **{k: FIRST_ROW[k] for k in ("b_stars", "b_review_count_log", "b_is_open", "b_price", "b_hours_n", "b_stars_centred", "b_hours_log", "b_price_squared", "stars_gap", "b_checkins_root")},
+    "b_lat_bin": "b_lat_bin", "b_lon_bin": "b_lon_bin", **{k: FIRST_ROW[k] for k in ("b_noise_level", "b_takeout", "u_elite_count")},
+    "centred": "centred", "b_text_count": "b_text_count", "b_text_len_log": "ln(1 + b_text_avg_len)", "b_pos": "b_pos", "b_neg": "b_neg",
+}
+THIRD_ROW = [
+    *[f"b_{c}" for c in "stars review_count latitude longitude price_range credit_card appointment_only reservations table_service wheelchair".split()],
+    *[f"u_{c}" for c in "review_count friends useful funny cool fans elite average_stars".split()], *[f"u_compliment_{k}" for k in COMPLIMENTS],
+    *[f"b_tip_{c}" for c in "count sentiment decayed recent".split()], *[f"u_tip_{c}" for c in "count sentiment decayed".split()], "b_num_categories",
+]
+
+
+def model_rows(pairs: DataFrame, ratings: DataFrame, users: DataFrame, items: DataFrame, row: dict[str, str]) -> DataFrame:
+    """The first or second model's row for each pair, in its column order; users and items hold the entity features under u and b."""
+    whole = feature_rows(pairs, ratings, users, items)
+    keep = [c for c in pairs.columns if c not in row]
+    return whole.select(*keep, "base", "u_n", "b_n", *[F.expr(e).alias(k) for k, e in row.items()])
+
+
+def third_rows(pairs: DataFrame, users: DataFrame, items: DataFrame, tips: DataFrame, groups: list[str]) -> DataFrame:
+    """The third model's row for each pair: entity and tip features and category groups; what is missing is 0."""
+    of = lambda kind, key, names: tips.where(F.col("kind") == kind).select(F.col("id").alias(key), *[F.col(f"tip_{n}").alias(f"{key}_tip_{n}") for n in names])
+    text = lambda df, key: df.withColumn(key, F.col(key).cast("string"))
+    out = pairs.withColumn("_u", F.col("u").cast("string")).withColumn("_b", F.col("b").cast("string"))
+    sides = [(text(users, "u"), "u"), (text(items, "b"), "b"), (of("U", "u", ["count", "sentiment", "decayed"]), "u"), (of("B", "b", ["count", "sentiment", "decayed", "recent"]), "b")]
+    for df, key in sides:
+        out = out.join(df.withColumnRenamed(key, f"_{key}"), f"_{key}", "left")
+    names = [*THIRD_ROW, *groups]
+    return out.select(*pairs.columns, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names])
+
+
 def feature_rows(pairs: DataFrame, ratings: DataFrame, users: DataFrame | None = None, items: DataFrame | None = None, user_beta: float = 20.0, item_beta: float = 110.0, default: float = 3.5) -> DataFrame:
     """One row for each pair: base = mu + (shrunk u - mu) + (shrunk b - mu), activity, means, squares, gaps, and whatever the entity tables hold.
 
@@ -122,7 +203,8 @@ def feature_rows(pairs: DataFrame, ratings: DataFrame, users: DataFrame | None =
         out = out.withColumns({f"{k}_mean": F.coalesce(f"{k}_mean", "mu"), f"{k}_shrunk": F.coalesce(f"{k}_shrunk", "mu"), f"{k}_n": F.coalesce(F.col(f"{k}_n").cast("double"), F.lit(0.0)), f"{k}_variance": F.coalesce(f"{k}_variance", F.lit(0.0))})
     for k, more in (("u", users), ("b", items)):
         if more is not None:
-            out = out.join(more, k, "left").fillna(0.0, [c for c in more.columns if c != k])
+            numbers = {c: MISSING.get(c, 0.0) for c, kind in more.dtypes if c != k and kind in ("double", "int", "bigint")}
+            out = out.join(more, k, "left").fillna(numbers)
     return out.withColumns({
         "base": F.col("u_shrunk") + F.col("b_shrunk") - F.col("mu"), "u_n_log": S.log1p_plus("u_n"), "b_n_log": S.log1p_plus("b_n"),
         "gap": F.abs(F.col("u_mean") - F.col("b_mean")), "gap_shrunk": F.abs(F.col("u_shrunk") - F.col("b_shrunk")),

@@ -65,17 +65,26 @@ def fp_growth(pairs: DataFrame, key: str, item: str, support: int) -> DataFrame:
 
 
 def son_candidates(pairs: DataFrame, key: str, item: str, part: str, support: float, size: int) -> DataFrame:
-    """SON's first pass for sets of one or two items: frequent in some declared partition by its own share of the support."""
+    """SON's first pass: sets of a size that are frequent in some declared partition by its own share of the support.
+
+    Sizes 1 and 2 come as columns item (and item2), larger ones as items, in order.
+    """
     long = pairs.select(F.col(part).alias("part"), F.col(key).alias("key"), F.col(item).alias("item")).distinct()
     held = long.select("part", "key").distinct().groupBy("part").agg(F.count("*").alias("p"))
     total = held.agg(F.sum("p").alias("d"))
-    need = held.join(F.broadcast(total)).select("part", F.greatest(F.lit(1), F.ceil(F.lit(float(support)) * F.col("p") / F.col("d"))).alias("need"))
-    ones = long.groupBy("part", "item").agg(F.count("*").alias("n")).join(F.broadcast(need), "part").where("n >= need").select("part", "item")
-    if size == 1:
-        return ones.select("item").distinct()
-    kept = long.join(ones, ["part", "item"], "left_semi")
-    pairs2 = kept.join(kept.select(F.col("part").alias("q"), F.col("key").alias("k2"), F.col("item").alias("item2")), (F.col("part") == F.col("q")) & (F.col("key") == F.col("k2")) & (F.col("item") < F.col("item2")))
-    return pairs2.groupBy("part", "item", "item2").agg(F.count("*").alias("n")).join(F.broadcast(need), "part").where("n >= need").select("item", "item2").distinct()
+    need = F.broadcast(held.join(F.broadcast(total)).select("part", F.greatest(F.lit(1), F.ceil(F.lit(float(support)) * F.col("p") / F.col("d"))).alias("need")))
+    enough = lambda matches: matches.groupBy("part", "items").agg(F.count("*").alias("n")).join(need, "part").where("n >= need").select("part", "items")
+    matches = long.select("part", "key", F.array("item").alias("items"))
+    level = enough(matches)
+    alone = level.select("part", F.element_at("items", 1).alias("item"))
+    later = long.join(alone, ["part", "item"], "left_semi").select(F.col("part").alias("q"), F.col("key").alias("k2"), F.col("item").alias("next"))
+    for _ in range(size - 1):
+        kept = matches.join(level, ["part", "items"], "left_semi")
+        grown = kept.join(later, (F.col("part") == F.col("q")) & (F.col("key") == F.col("k2")) & (F.element_at("items", -1) < F.col("next")))
+        matches = written(grown.select("part", "key", F.concat("items", F.array("next")).alias("items")), "matches")
+        level = enough(matches)
+    sets = level.select("items").distinct()
+    return sets if size > 2 else sets.select(*[F.col("items")[i].alias(n) for i, n in enumerate(("item", "item2")[:size])])
 
 
 def association_support(pairs: DataFrame, key: str, share: float) -> float:

@@ -17,8 +17,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-#: A set of brands is frequent in this share of the baskets; graphs keep at most this many edges.
-SHARE, EDGES, SMALL = 0.0237, 200, 12
+#: A set of brands is frequent in this share of the baskets.
+SHARE, SHARE3 = 0.0237, 0.0031
+#: Parts that two customers share to be joined: in most graph queries, where shortest paths are counted, and where edges are cut one after the other.
+EDGES, DENSE, CUT = 3, 5, 8
 
 
 def query(sql: str | None = None):
@@ -42,8 +44,8 @@ UB = "ub AS (SELECT DISTINCT o_custkey AS u, l_partkey AS i FROM lineitem JOIN o
 CO = "co AS (SELECT a.u AS src, b.u AS dst, count(*) AS n FROM ub a JOIN ub b ON a.i = b.i AND a.u < b.u GROUP BY 1, 2)"
 
 
-def edges_sql(most: int) -> str:
-    return f"{UB}, {CO}, edges AS (SELECT src, dst, n FROM co WHERE n >= (SELECT min(t) FROM (SELECT n AS t, sum(count(*)) OVER (ORDER BY n DESC) AS c FROM co GROUP BY n) WHERE c <= {most}))"
+def edges_sql(threshold: int = EDGES) -> str:
+    return f"{UB}, {CO}, edges AS (SELECT src, dst, n FROM co WHERE n >= {threshold})"
 
 
 TOKENS = "tokens AS (SELECT DISTINCT doc_id AS d, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS t FROM documents)"
@@ -66,19 +68,9 @@ def user_items(spark: SparkSession, d: str) -> DataFrame:
     return lines.join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("u"), F.col("l_partkey").alias("i")).distinct()
 
 
-def edges(spark: SparkSession, d: str, most: int = EDGES) -> DataFrame:
-    """The customers' graph at the lowest threshold that leaves at most `most` edges."""
-    from lodespark.session import written
-
-    co = written(graph.cooccurrence(user_items(spark, d), "u", "i", 1), "co")
-    sizes = sorted(((r.n, r.c) for r in co.groupBy("n").agg(F.count("*").alias("c")).collect()), reverse=True)
-    threshold, held = None, 0
-    for n, c in sizes:
-        held += c
-        if held > most:
-            break
-        threshold = n
-    return co.where(F.col("n") >= F.lit(threshold))
+def edges(spark: SparkSession, d: str, threshold: int = EDGES) -> DataFrame:
+    """The customers' graph: those who share at least so many parts."""
+    return graph.cooccurrence(user_items(spark, d), "u", "i", threshold)
 
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +124,14 @@ def eda_avg_top10(spark, d):
     return rounded(eda.average_by_group(table(spark, d, "orders"), nations, "o_custkey", "o_totalprice", "n_name").limit(10), "mean", digits=4)
 
 
-@query()
+CRC = (
+    "WITH t AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(3988292384, a // 2) ELSE a // 2 END) AS v FROM range(256) r(i))), "
+    "k AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1), "
+    "c AS (SELECT n, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(l_partkey::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: xor(t[xor(a, b) % 256 + 1], a // 256)), 4294967295) % 27 AS part FROM k, t) "
+)
+
+
+@query(CRC + "SELECT p.part::INT AS part, coalesce(sum(n), 0)::BIGINT AS n FROM range(27) p(part) LEFT JOIN c ON c.part = p.part GROUP BY 1")
 def eda_partition_stats(spark, d):
     return eda.partition_stats(table(spark, d, "lineitem"), "l_partkey", 27)
 
@@ -218,6 +217,20 @@ def itemsets_candidates_k2(spark, d):
     return _son(spark, d, 2)
 
 
+SON3 = (
+    "p2 AS (SELECT part, item, item2 FROM (SELECT a.k % 4 AS part, a.i AS item, b.i AS item2, count(*) AS n FROM baskets a JOIN baskets b ON a.k = b.k AND a.i < b.i SEMI JOIN ones ON ones.part = a.k % 4 AND ones.i = a.i GROUP BY 1, 2, 3) x JOIN need USING (part) WHERE n >= need AND EXISTS (SELECT 1 FROM ones o WHERE o.part = x.part AND o.i = x.item2)), "
+    "p3 AS (SELECT k % 4 AS part, a.i AS x, b.i AS y, c.i AS z, count(*) AS n FROM baskets a JOIN baskets b USING (k) JOIN baskets c USING (k) WHERE a.i < b.i AND b.i < c.i GROUP BY 1, 2, 3, 4) "
+)
+
+
+@query(SON.replace(str(SHARE), str(SHARE3)).rstrip() + ", " + SON3 + "SELECT DISTINCT x, y, z FROM p3 JOIN need USING (part) WHERE n >= need AND EXISTS (SELECT 1 FROM p2 WHERE p2.part = p3.part AND item = x AND item2 = y)")
+def itemsets_candidates_k3(spark, d):
+    """SON's first pass beyond pairs, at a lower support so that some sets of three are frequent."""
+    pairs = brand_pairs(spark, d)
+    sets = itemsets.son_candidates(pairs.withColumn("part", F.col("k") % 4), "k", "i", "part", itemsets.association_support(pairs, "k", SHARE3), 3)
+    return sets.select(*[F.col("items")[i].alias(n) for i, n in enumerate("xyz")])
+
+
 # --- similarity ------------------------------------------------------------------
 
 
@@ -226,6 +239,17 @@ def lsh_jaccard(spark, d):
     return rounded(lsh.lsh_join(tokens(spark, d), "d", "t"), "similarity")
 
 
+@query(f"WITH {TOKENS}, n AS (SELECT d, count(*) AS n FROM tokens GROUP BY d), s AS (SELECT a.d AS id1, b.d AS id2, count(*) AS shared FROM tokens a JOIN tokens b ON a.t = b.t AND a.d < b.d GROUP BY 1, 2) SELECT count(*) AS n_exact, 0::BIGINT AS n_wrong, true AS recall_reached FROM s JOIN n n1 ON n1.d = id1 JOIN n n2 ON n2.d = id2 WHERE shared / (n1.n + n2.n - shared) >= 0.5")
+def lsh_recall(spark, d):
+    """The LSH join against the exact one: pairs that are none, and whether 97 % of those that are were found."""
+    from lodespark.session import written
+
+    held = written(tokens(spark, d), "tokens")
+    exact, found = lsh.exact_join(held, "d", "t").select("id1", "id2", F.lit(1).alias("e")), lsh.lsh_join(held, "d", "t").select("id1", "id2", F.lit(1).alias("f"))
+    both = exact.join(found, ["id1", "id2"], "full")
+    return both.agg(F.count("e").alias("n_exact"), F.count_if(F.col("e").isNull()).alias("n_wrong"), (F.coalesce(F.count_if(F.expr("e = 1 AND f = 1")) / F.count("e"), F.lit(1.0)) >= 0.97).alias("recall_reached"))
+
+
 @query(f"WITH {TOKENS}, n AS (SELECT d, count(*) AS n FROM tokens GROUP BY d), s AS (SELECT a.d AS id1, b.d AS id2, count(*) AS shared FROM tokens a JOIN tokens b ON a.t = b.t AND a.d < b.d GROUP BY 1, 2) SELECT id1, id2, round(shared / (n1.n + n2.n - shared), 6) AS similarity FROM s JOIN n n1 ON n1.d = id1 JOIN n n2 ON n2.d = id2 WHERE shared / (n1.n + n2.n - shared) >= 0.5")
 def jaccard_exact(spark, d):
     return rounded(lsh.exact_join(tokens(spark, d), "d", "t"), "similarity")
@@ -233,12 +257,14 @@ def jaccard_exact(spark, d):
 
 @query(
     f"WITH {TOKENS}, ix AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS x FROM (SELECT DISTINCT t FROM tokens)), m AS (SELECT count(*) AS m FROM ix), "
-    f"ab AS (SELECT unnest([{', '.join(f'[{a}, {b}]' for a, b in S.minhash_params(6))}]) AS p) "
+    f"ab AS (SELECT unnest([{', '.join(f'[{a}, {b}]' for a, b in S.minhash_params())}]) AS p) "
     "SELECT d, p[1]::BIGINT AS a, min(((p[1]::BIGINT * x + p[2]) % 1299709) % m) AS least FROM tokens JOIN ix USING (t), m, ab GROUP BY 1, 2"
 )
 def minhash_signature(spark, d):
-    pairs = tokens(spark, d)
-    params = S.minhash_params(6)
+    from lodespark.session import written
+
+    pairs = written(tokens(spark, d), "tokens")
+    params = S.minhash_params()
     sigs = lsh.signatures(lsh.indexed(pairs, "t"), "d", "ix", max(1, pairs.select("t").distinct().count()), params)
     return sigs.select("d", F.posexplode("sig").alias("k", "least")).select("d", F.get(F.array(*[F.lit(a).cast("bigint") for a, _ in params]), F.col("k")).alias("a"), "least")
 
@@ -389,7 +415,7 @@ def feat_product_id(spark, d):
     return table(spark, d, "part").select("p_partkey", F.concat(F.lit("00"), F.col("p_partkey").cast("string")).alias("raw")).select("p_partkey", product_id("raw").alias("item"))
 
 
-BASE = f"{TRAIN}, mu AS (SELECT avg(stars) AS mu FROM train), us AS (SELECT u, avg(stars) AS mean, count(*) AS n, (sum(stars) + 20.0 * any_value(mu)) / (count(*) + 20.0) AS shrunk FROM train, mu GROUP BY u), bs AS (SELECT b, avg(stars) AS mean, count(*) AS n, (sum(stars) + 110.0 * any_value(mu)) / (count(*) + 110.0) AS shrunk FROM train, mu GROUP BY b), base AS (SELECT h.u, h.b, h.stars, coalesce(us.shrunk, mu) + coalesce(bs.shrunk, mu) - mu AS base, coalesce(us.n, 0) AS un, coalesce(bs.n, 0) AS bn, (coalesce(us.mean, mu) - mu) * (coalesce(bs.mean, mu) - mu) AS centred FROM hold h LEFT JOIN us ON us.u = h.u LEFT JOIN bs ON bs.b = h.b, mu)"
+BASE = f"{TRAIN}, mu AS (SELECT avg(stars) AS mu FROM train), us AS (SELECT u, avg(stars) AS mean, count(*) AS n, (sum(stars) + 20.0 * any_value(mu)) / (count(*) + 20.0) AS shrunk FROM train, mu GROUP BY u), bs AS (SELECT b, avg(stars) AS mean, count(*) AS n, (sum(stars) + 110.0 * any_value(mu)) / (count(*) + 110.0) AS shrunk FROM train, mu GROUP BY b), base AS (SELECT h.u, h.b, h.stars, coalesce(us.shrunk, mu) + coalesce(bs.shrunk, mu) - mu AS base, coalesce(us.n, 0) AS un, coalesce(bs.n, 0) AS bn, (coalesce(us.mean, mu) - mu) * (coalesce(bs.mean, mu) - mu) AS centred, coalesce(us.mean, mu) AS um, coalesce(bs.mean, mu) AS bm, mu FROM hold h LEFT JOIN us ON us.u = h.u LEFT JOIN bs ON bs.b = h.b, mu)"
 
 
 def _base_rows(spark, d):
@@ -440,31 +466,31 @@ def stack_predict(spark, d):
 # --- graphs ----------------------------------------------------------------------
 
 
-@query(f"WITH {edges_sql(EDGES)} SELECT src, dst, n FROM edges")
+@query(f"WITH {edges_sql()} SELECT src, dst, n FROM edges")
 def graph_edges(spark, d):
     return edges(spark, d)
 
 
-@query(f"WITH {edges_sql(EDGES)} SELECT src AS id FROM edges UNION SELECT dst FROM edges")
+@query(f"WITH {edges_sql()} SELECT src AS id FROM edges UNION SELECT dst FROM edges")
 def graph_vertices(spark, d):
     return graph.vertices(edges(spark, d))
 
 
-@query(f"WITH {edges_sql(EDGES)} SELECT src, dst FROM edges UNION SELECT dst, src FROM edges")
+@query(f"WITH {edges_sql()} SELECT src, dst FROM edges UNION SELECT dst, src FROM edges")
 def graph_mirror(spark, d):
     return graph.mirrored(edges(spark, d))
 
 
-@query(f"WITH {edges_sql(EDGES)} SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id")
+@query(f"WITH {edges_sql()} SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id")
 def graph_degree(spark, d):
     return graph.degrees(edges(spark, d))
 
 
-def _cc_sql(most: int) -> str:
-    return f"WITH RECURSIVE {edges_sql(most)}, both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), reach AS (SELECT src AS id, src AS other FROM both_ways UNION SELECT reach.id, dst FROM reach JOIN both_ways ON other = src), cc AS (SELECT id, min(other) AS community FROM reach GROUP BY id) "
+def _cc_sql(threshold: int = EDGES) -> str:
+    return f"WITH RECURSIVE {edges_sql(threshold)}, both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), reach AS (SELECT src AS id, src AS other FROM both_ways UNION SELECT reach.id, dst FROM reach JOIN both_ways ON other = src), cc AS (SELECT id, min(other) AS community FROM reach GROUP BY id) "
 
 
-@query(_cc_sql(EDGES) + "SELECT id, community FROM cc")
+@query(_cc_sql() + "SELECT id, community FROM cc")
 def graph_components(spark, d):
     return graph.components(edges(spark, d))
 
@@ -473,7 +499,7 @@ def _lpa_sql(rounds: int) -> str:
     parts = ["l0 AS (SELECT DISTINCT src AS id, src AS label FROM both_ways)"]
     for i in range(rounds):
         parts.append(f"l{i + 1} AS (SELECT id, label FROM (SELECT b.src AS id, l.label, row_number() OVER (PARTITION BY b.src ORDER BY count(*) DESC, l.label) AS rk FROM both_ways b JOIN l{i} l ON l.id = b.dst GROUP BY b.src, l.label) WHERE rk = 1)")
-    return f"WITH {edges_sql(EDGES)}, both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), {', '.join(parts)} SELECT id, label FROM l{rounds}"
+    return f"WITH {edges_sql()}, both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), {', '.join(parts)} SELECT id, label FROM l{rounds}"
 
 
 @query(_lpa_sql(5))
@@ -481,19 +507,14 @@ def graph_lpa(spark, d):
     return graph.label_propagation(edges(spark, d))
 
 
-@query(
-    f"WITH RECURSIVE {edges_sql(EDGES)}, both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), walk AS (SELECT src AS s, src AS t, 0 AS d FROM both_ways UNION SELECT s, dst, d + 1 FROM walk JOIN both_ways ON t = src WHERE d < 40), "
-    "dist AS (SELECT s, t, min(d) AS d FROM walk GROUP BY 1, 2), "
-    "paths AS (SELECT DISTINCT src AS s, src AS t, [src] AS p FROM both_ways UNION ALL SELECT paths.s, b.dst, list_append(p, b.dst) FROM paths JOIN both_ways b ON paths.t = b.src JOIN dist ON dist.s = paths.s AND dist.t = b.dst AND dist.d = len(p)), "
-    "ends AS (SELECT s, t, p, 1.0 / count(*) OVER (PARTITION BY s, t) AS share FROM paths WHERE s < t), steps AS (SELECT share, p, unnest(range(1, len(p))) AS i FROM ends) "
-    "SELECT least(p[i], p[i + 1]) AS src, greatest(p[i], p[i + 1]) AS dst, round(sum(share), 6) AS betweenness FROM steps GROUP BY 1, 2"
-)
+@query()
 def graph_betweenness(spark, d):
-    return rounded(graph.edge_betweenness(edges(spark, d)), "betweenness")
+    """All shortest paths of the whole graph; listing them in SQL takes too long, so unit tests hold the operator against brute force."""
+    return rounded(graph.edge_betweenness(edges(spark, d, DENSE)), "betweenness")
 
 
 @query(
-    _cc_sql(EDGES) + ", m AS (SELECT count(*) AS m FROM edges), deg AS (SELECT src AS id, count(*) AS degree FROM both_ways GROUP BY 1), i AS (SELECT community, count(*) AS inner_edges FROM edges JOIN cc ON id = src GROUP BY 1), t AS (SELECT community, sum(degree) AS total FROM deg JOIN cc USING (id) GROUP BY 1) "
+    _cc_sql() + ", m AS (SELECT count(*) AS m FROM edges), deg AS (SELECT src AS id, count(*) AS degree FROM both_ways GROUP BY 1), i AS (SELECT community, count(*) AS inner_edges FROM edges JOIN cc ON id = src GROUP BY 1), t AS (SELECT community, sum(degree) AS total FROM deg JOIN cc USING (id) GROUP BY 1) "
     "SELECT round(sum(coalesce(inner_edges, 0) / m - pow(total / (2 * m), 2)), 6) AS q FROM t LEFT JOIN i USING (community), m"
 )
 def graph_modularity(spark, d):
@@ -503,7 +524,7 @@ def graph_modularity(spark, d):
 
 @query()
 def graph_girvan_newman(spark, d):
-    return graph.communities(graph.girvan_newman(edges(spark, d, SMALL)), "community").select(F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"), "size")
+    return graph.communities(graph.girvan_newman(edges(spark, d, CUT)), "community").select(F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"), "size")
 
 
 # --- streams ---------------------------------------------------------------------
@@ -552,14 +573,22 @@ def stream_live_fm(spark, d):
     return live.live_flajolet_martin(live.event_stream(spark, d), F.floor(F.col("event_id") / 300), "user_id")
 
 
-@query()
+LIVE_BLOOM = (
+    f"WITH stream AS (SELECT event_id AS seq, user_id AS key FROM events), first AS (SELECT key, min(seq) AS first_seen, {HORNER.format(x='key')} AS x FROM stream GROUP BY key), "
+    f"bits AS (SELECT key, first_seen, unnest([{', '.join(f'(({a} * x + {b}) % 2147483647) % 69997' for a, b in S.BLOOM_PARAMS)}]) AS bit FROM first), fs AS (SELECT bit, min(first_seen) AS first_set FROM bits GROUP BY bit), "
+    "ready AS (SELECT key, max(first_set) AS ready, any_value(first_seen) AS first_seen FROM bits JOIN fs USING (bit) GROUP BY key) "
+    "SELECT seq // 100 AS tick, sum(CASE WHEN seq = first_seen AND ready < seq THEN 1 ELSE 0 END)::BIGINT AS fp, sum(CASE WHEN seq = first_seen AND NOT ready < seq THEN 1 ELSE 0 END)::BIGINT AS tn FROM stream JOIN ready USING (key) GROUP BY 1"
+)
+
+
+@query(LIVE_BLOOM)
 def stream_live_bloom(spark, d):
     return live.live_bloom(live.event_stream(spark, d), F.floor(F.col("event_id") / 100), "event_id", "user_id").drop("shard")
 
 
-@query()
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_live_windows(spark, d):
-    return live.live_windows(live.event_stream(spark, d))
+    return live.live_windows(live.event_stream(spark, d)).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
@@ -590,3 +619,6 @@ def bfr_mahalanobis(spark, d):
 @query()
 def bfr_cluster(spark, d):
     return bfr.cluster(table(spark, d, "embeddings"), "vec_id", "embedding", 10)[0]
+
+
+from lodespark.plans import entities, reports  # noqa: E402, F401  register their queries here

@@ -19,6 +19,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def as_uri(path: str) -> str:
+    """An absolute local path as a file URI; what is a URI already stays."""
+    from pathlib import PurePosixPath
+
+    return PurePosixPath(path).as_uri() if path.startswith("/") else path
+
+
+def csv_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV with a header under a declared schema; cells that don't parse are null."""
+    return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+
+
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One JSON object a line; absent keys are null, an absent path is an empty table."""
     if not exists(spark, path):

@@ -53,3 +53,38 @@ def cluster_lines(rounds: DataFrame, labels: DataFrame) -> DataFrame:
 
 def text(lines: DataFrame, path: str) -> None:
     lines.coalesce(1).write.mode("overwrite").text(path)
+
+
+def similarity_report(pairs: DataFrame, path: str) -> None:
+    """Sorted pairs id1, id2, similarity."""
+    rows = pairs.select(F.col("id1").alias("business_id_1"), F.col("id2").alias("business_id_2"), F.format_string("%.6f", F.col("similarity").cast("double")).alias("similarity"), "id1", "id2")
+    csv(rows.orderBy("id1", "id2").drop("id1", "id2"), path)
+
+
+def prediction_report(predictions: DataFrame, path: str) -> None:
+    """Predictions of pairs u, b in order."""
+    rows = predictions.select(F.col("u").alias("user_id"), F.col("b").alias("business_id"), F.format_string("%.6f", F.col("prediction")).alias("prediction"))
+    csv(rows, path, ["user_id", "business_id"])
+
+
+def bloom_report(rates: DataFrame, path: str) -> None:
+    csv(rates.select(F.col("batch").alias("Time"), F.when(F.col("fpr").isNotNull(), F.format_string("%.6f", F.col("fpr"))).alias("FPR")), path, ["Time"])
+
+
+def distinct_report(estimates: DataFrame, path: str) -> None:
+    csv(estimates.select(F.col("batch").alias("Time"), F.col("truth").alias("Ground Truth"), F.col("estimate").alias("Estimation")), path, ["Time"])
+
+
+def reservoir_report(samples: DataFrame, path: str, slots: tuple[int, ...] = (0, 20, 40, 60, 80)) -> None:
+    wide = samples.groupBy("seqnum").pivot("slot", list(slots)).agg(F.first("key"))
+    csv(wide.select("seqnum", *[F.col(str(k)).alias(f"{k}_id") for k in slots]), path, ["seqnum"])
+
+
+def metric_lines(rows: DataFrame, guess: str, truth: str) -> DataFrame:
+    """The RMSE, then the number of absolute errors in [0,1) to [3,4) and from 4."""
+    error = F.abs(F.col(guess) - F.col(truth))
+    bins = [F.count_if(F.least(F.floor(error), F.lit(4)) == k).alias(f"b{k}") for k in range(5)]
+    sums = rows.agg(F.sqrt(F.avg(error * error)).alias("rmse"), *bins)
+    names = [f">={k} and <{k + 1}" for k in range(4)] + [">=4"]
+    values = [F.format_string("RMSE: %.6f", F.col("rmse"))] + [F.format_string(n + ": %d", F.col(f"b{k}")) for k, n in enumerate(names)]
+    return sums.select(F.explode(F.array(*values)).alias("value"))
