@@ -1,33 +1,42 @@
-"""LM scoring by context-tree weighting.
-
-Texts are read as bytes, A-Z in lower case. Each byte is coded by binary
-decisions: five for its class (the 26 letters, space, other blank, digit, other
-ASCII, not ASCII, end of text), then, where the class has several bytes, eight
-for the byte. Every decision has its own context tree. The class trees look at
-the classes of the last DEPTH bytes, the byte trees at the last byte. At each
-node a Krichevsky-Trofimov estimate stands for all contexts below it; weighting
-mixes the estimates of all depths along a path by the probability that each
-gave to the training data: Pw = 1/2 Pkt + 1/2 product of the children's Pw. A
-context that training never met predicts as the longest one it did meet.
-
-All training documents are counted, as (context, symbol) pairs: each task adds
-up its own, Spark sums them. The classes bound the trees, not the corpus: there
-are at most 2**25 + 2**16 such pairs, so the counts can go to the driver and the
-finished tables (at most 140 MB, some 10 MB on ordinary text) to the tasks.
-
-The base score is a smoothed unigram model of words. The FREQUENT most frequent
-words go to all tasks; all other words are looked up by a join, so the score is
-exact for any vocabulary. Words are known by a 64-bit hash.
+"""LM scoring by context-tree weighting over bytes.
+
+Texts are read as bytes, A-Z in lower case. Each byte, and the end of the text, is
+coded by eight binary decisions; the contexts of a decision are the last 0 to DEPTH
+bytes (EDGE before the start), so every decision has a context tree of its own. At
+each node a Krichevsky-Trofimov estimate stands for all contexts below it, and
+weighting mixes the estimates of all depths along a path by the probability that
+each gave to the training data: Pw = 1/2 Pkt + 1/2 product of the children's Pw. A
+context or a decision that training never met leaves the word to the longest one
+it did meet.
+
+The tree is weighted in two parts. The outer one has the depths 0 to 3; below each
+context of three bytes hangs an inner one of the depths 3 to DEPTH. What the outer
+tree gives its leaf is handed on to the leaf's inner tree.
+
+All that training gathers grows with the corpus and stays distributed. Texts are
+dealt into blocks. A block is known by its distinct (context, byte) pairs, sorted
+and coded by differences, with their counts in training texts; each goes to the
+bucket of its three-byte context. A bucket adds up its blocks' counts, builds its
+trees and answers every block with one number a pair, in the same order. The block
+then reads its texts again and adds the numbers up. Only the outer tree's rows, 4 KB
+for each of at most 2**16 contexts of two bytes, reach the driver and the tasks.
+Words take the same way for the base score: a bucket answers with their counts.
+
+A context of three bytes is one bucket's; what it costs there is its distinct
+longer contexts in each block, coded in about a byte and a half each.
 
 Cases: a null or empty text is the end symbol alone; a null id counts as training
 with remainder 0; repeated rows are each scored and each trained on; without
 training documents all words are unknown and every decision has probability 1/2;
-an empty table gives an empty result; extra columns are left out.
+an empty table gives an empty result; extra columns are left out. Texts longer than
+a block are a block of their own and are worked on in windows of WINDOW bytes.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,112 +44,129 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodespark.llm import grams
-from lodespark.session import written
-
-DEPTH, CLASS_BITS = 4, 5
-CONTEXTS = 1 << (DEPTH * CLASS_BITS)
-SPACE, BLANK, DIGIT, OTHER, WIDE, EDGE = 26, 27, 28, 29, 30, 31
-FREQUENT = 1 << 16
-#: Kinds of counted keys.
-CLASSES, BYTES, WORDS = 0, 1, 2
-END_KEY = 0x656E64
-SLICE = 1 << 20
-
-
-def _class_table() -> np.ndarray:
-    out = np.full(256, OTHER, np.int64)
-    out[128:] = WIDE
-    out[97:123] = np.arange(26)
-    out[32] = SPACE
-    out[[9, 10, 11, 12, 13]] = BLANK
-    out[48:58] = DIGIT
-    return out
+from lodespark.session import scratch_path, written
 
+DEPTH, OUTER = 7, 3
+EDGE = 0xFF  # stands in no UTF-8 text: before the start and at the end
+END_WORD = 0x656E64
+BLOCK, WINDOW = 16 << 20, 2 << 20
+BUCKET_BYTES, MOST_BUCKETS = 12 << 20, 8192
+#: Steps of an answer: 1/1024 in log10.
+SCALE = 1024
+PAIRS, WORDS = 0, 1
+_SYM = np.uint64(0xFF)
+
+
+# --- coding ----------------------------------------------------------------------
 
-CLASS = _class_table()
-
-
-def symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For every byte and every end of text: document, context (latest class in the high bits), class, last byte, byte."""
-    data, offsets = grams.flat(column)
-    data, n, pad = grams.LOWER[data], len(offsets) - 1, DEPTH + 1
-    # each text with its end after it and DEPTH edge marks before it
-    real = np.ones(len(data) + n * pad, bool)
-    starts = offsets[:-1] + pad * np.arange(n)
-    for j in range(DEPTH):
-        real[starts + j] = False
-    ends = offsets[1:] + pad * np.arange(1, n + 1) - 1
-    classes, raw = np.full(len(real), EDGE, np.int64), np.zeros(len(real), np.int64)
-    text = real.copy()
-    text[ends] = False
-    raw[text] = data
-    classes[text] = CLASS[data]
-    context = np.zeros(len(real), np.int64)
-    for j in range(DEPTH):
-        context[j + 1 :] |= classes[: len(real) - j - 1] << ((DEPTH - 1 - j) * CLASS_BITS)
-    last = np.zeros(len(real), np.int64)
-    last[1:] = raw[:-1]
-    at = np.flatnonzero(real)
-    doc = np.repeat(np.arange(n), np.diff(offsets) + 1)
-    return doc, context[at], classes[at], last[at], raw[at]
-
-
-def _several(classes: np.ndarray) -> np.ndarray:
-    """Where the class doesn't settle the byte."""
-    return (classes >= BLANK) & (classes <= WIDE)
-
-
-class _Tally:
-    """Counts of keys in a task, flushed as rows when they grow."""
-
-    def __init__(self, most: int = 1 << 20):
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.held, self.most = 0, most
-
-    def add(self, keys: np.ndarray) -> None:
-        k, n = np.unique(keys, return_counts=True)
-        self.parts.append((k, n))
-        self.held += len(k)
-
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        k, n = np.concatenate([p[0] for p in self.parts]), np.concatenate([p[1] for p in self.parts])
-        order = np.argsort(k, kind="stable")
-        k, n = k[order], n[order]
-        begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        return k[begin], np.add.reduceat(n, begin)
-
-    def full(self) -> bool:
-        if self.held < 4 * self.most:
-            return False
-        k, n = self.merged()
-        self.parts, self.held = [(k, n)], len(k)
-        return self.held >= self.most
-
-    def rows(self, kind: int) -> pa.RecordBatch:
-        k, n = self.merged()
-        self.parts, self.held = [], 0
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.astype(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
-
-
-def _count_rows(batches):
-    tallies = {CLASSES: _Tally(), BYTES: _Tally(), WORDS: _Tally()}
-    docs = 0
-    for batch in batches:
-        for part in grams.slices(batch, 0, SLICE):
-            doc, context, classes, last, raw = symbols(part.column(0))
-            tallies[CLASSES].add((context << CLASS_BITS) | classes)
-            more = _several(classes)
-            tallies[BYTES].add((last[more] << 8) | raw[more])
-            tallies[WORDS].add(grams.word_hashes(part.column(0), lower=True)[0].view(np.int64))
-            docs += part.num_rows
-            for kind, tally in tallies.items():
-                if tally.full():
-                    yield tally.rows(kind)
-    for kind, tally in tallies.items():
-        yield tally.rows(kind)
-    yield pa.RecordBatch.from_arrays([pa.array([WORDS], pa.int32()), pa.array([END_KEY], pa.int64()), pa.array([docs], pa.int64())], ["kind", "key", "n"])
+
+def _pack(a: np.ndarray) -> bytes:
+    """Whole numbers as planes of bytes, compressed."""
+    import zstandard
+
+    return zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes(), 1)
+
+
+def _unpack(b: bytes, kind) -> np.ndarray:
+    import zstandard
+
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def pack_keys(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    return _pack(np.diff(keys, prepend=np.uint64(0))), _pack(counts.astype(np.uint32))
+
+
+def unpack_keys(keys: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(keys, np.uint64), dtype=np.uint64)
+
+
+# --- reading ---------------------------------------------------------------------
+
+
+def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes with DEPTH edges before and one after each text, where a symbol stands, where each text's symbols begin)."""
+    n, extra = len(offsets) - 1, DEPTH + 1
+    out = np.full(len(data) + n * extra, EDGE, np.uint8)
+    starts = offsets[:-1] + extra * np.arange(n) + DEPTH
+    symbol = np.ones(len(out), bool)
+    for j in range(1, DEPTH + 1):
+        symbol[starts - j] = False
+    text = symbol.copy()
+    text[offsets[1:] + extra * np.arange(1, n + 1) - 1] = False
+    out[text] = grams.LOWER[data]
+    return out, symbol, starts
+
+
+def windows_of_keys(data: np.ndarray, symbol: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places of symbols, their keys): the last byte on top, then the one before it, at the bottom the symbol."""
+    for lo in range(0, len(data), WINDOW):
+        at = lo + np.flatnonzero(symbol[lo : lo + WINDOW])
+        a = max(0, lo - DEPTH)
+        piece = data[a : lo + WINDOW].astype(np.uint64)
+        key = piece.copy()
+        for j in range(1, DEPTH + 1):
+            key[j:] |= piece[:-j] << np.uint64(64 - 8 * j)
+        yield at, key[at - a]
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order, each once, and the sums of their counts."""
+    k, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.argsort(k, kind="stable")
+    k, n = k[order], n[order]
+    begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
+    return k[begin], (np.add.reduceat(n, begin) if len(k) else n)
+
+
+def block_pairs(data: np.ndarray, offsets: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The block's distinct keys and how often training texts have them."""
+    flat, symbol, starts = padded(data, offsets)
+    edges = np.append(starts, len(flat) + 1)
+    parts: list = []
+    for at, key in windows_of_keys(flat, symbol):
+        learn = trained[np.searchsorted(edges, at, "right") - 1]
+        k, n = np.unique(key[learn], return_counts=True)
+        parts.append((k, n))
+        other = np.unique(key[~learn])
+        parts.append((other, np.zeros(len(other), np.int64)))
+        if len(parts) >= 8:
+            parts = [_merged(parts)]
+    return _merged(parts) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
+def word_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, document) of every word and of every document's end."""
+    h, doc, _ = grams.word_hashes(column, lower=True)
+    n = len(column)
+    return np.append(h, np.full(n, END_WORD, np.uint64)), np.append(doc, np.arange(n))
+
+
+def block_words(column: pa.Array, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    parts: list = []
+    batch = pa.RecordBatch.from_arrays([column], ["text"])
+    at = 0
+    for part in grams.slices(batch, 0):
+        h, doc = word_keys(part.column(0))
+        learn = trained[at + doc]
+        parts.append(np.unique(h[learn], return_counts=True))
+        other = np.unique(h[~learn])
+        parts.append((other, np.zeros(len(other), np.int64)))
+        at += part.num_rows
+        if len(parts) >= 8:
+            parts = [_merged(parts)]
+    return _merged(parts) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
+def bucket_of(kind: int, keys: np.ndarray, buckets: int) -> np.ndarray:
+    whole = keys >> np.uint64(64 - 8 * OUTER) if kind == PAIRS else keys.copy()
+    return (grams.mix(whole + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+
+
+# --- trees -----------------------------------------------------------------------
+
+_SMALL = 1 << 14
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -151,156 +177,402 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
-def _decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(zeros, ones) at the nodes of the binary tree over symbols, nodes in breadth-first order."""
-    rows, n = counts.shape
-    zeros, ones, width = [], [], n
-    while width > 1:
-        halves = counts.reshape(rows, n // width, 2, width // 2).sum(3)
+_HALVES, _WHOLES = log_gamma(np.arange(_SMALL) + 0.5), log_gamma(np.arange(_SMALL) + 1.0)
+
+
+def _lookup(table: np.ndarray, n: np.ndarray, add: float) -> np.ndarray:
+    out = table[np.minimum(n, _SMALL - 1)]
+    large = n >= _SMALL
+    if large.any():
+        out[large] = log_gamma(n[large] + add)
+    return out
+
+
+def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Log of the Krichevsky-Trofimov probability of so many zeros and ones; 0 for none."""
+    return _lookup(_HALVES, zeros, 0.5) + _lookup(_HALVES, ones, 0.5) - _lookup(_WHOLES, zeros + ones, 1.0) - math.log(math.pi)
+
+
+class Level:
+    """The (context of d bytes, symbol) pairs of one depth, and for a number of decided bits the nodes of that decision."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.keys, self.counts = keys, counts
+
+    def above(self, depth: int) -> Level:
+        """The level of `depth` bytes; self.up says where each pair went."""
+        mask = np.uint64(((1 << 64) - 1) ^ ((1 << (64 - 8 * depth)) - 1)) if depth else np.uint64(0)
+        keys, self.up = np.unique((self.keys & mask) | (self.keys & _SYM), return_inverse=True)
+        return Level(keys, np.bincount(self.up, self.counts, len(keys)).astype(np.int64))
+
+    def decide(self, j: int) -> None:
+        """Groups by context and the first j bits: first pair, node of each pair, zeros and ones."""
+        prefix = self.keys >> np.uint64(8 - j)
+        new = np.ones(len(prefix), bool)
+        new[1:] = prefix[1:] != prefix[:-1]
+        self.begin = np.flatnonzero(new)
+        self.node = np.cumsum(new) - 1
+        bit = ((self.keys >> np.uint64(7 - j)) & np.uint64(1)).astype(np.int64)
+        self.ones = np.add.reduceat(self.counts * bit, self.begin)
+        self.all = np.add.reduceat(self.counts, self.begin)
+        self.kt = (self.ones + 0.5) / (self.all + 1.0)
+        self.log = log_kt(self.all - self.ones, self.ones)
+
+    def parents(self, above: Level) -> np.ndarray:
+        return above.node[self.up[self.begin]]
+
+
+def _share(level: Level, below: np.ndarray) -> np.ndarray:
+    """The weight of a node's own estimate against its children's, whose logs add up to `below`; level.log becomes the mixture's."""
+    mixed = np.logaddexp(level.log, below) - math.log(2)
+    share = np.exp(np.minimum(level.log - math.log(2) - mixed, 0))
+    level.log = mixed
+    return share
+
+
+class Outer:
+    """The outer tree, laid out by contexts of two bytes: p = part + rest * (what the inner tree says), or `own` where that knows nothing."""
+
+    def __init__(self, contexts: np.ndarray, counts: np.ndarray, below: np.ndarray):
+        """contexts: of two bytes, in order; counts: a row of symbol counts for each; below: for each decision the children's logs added up."""
+        rows = {2: (contexts, counts, below)}
+        for d in (1, 0):
+            c, n, _ = rows[d + 1]
+            up = c >> 8
+            there, inverse = np.unique(up, return_inverse=True)
+            total = np.zeros((len(there), 256), np.int64)
+            np.add.at(total, inverse, n)
+            rows[d] = (there, total, None)
+        if not len(contexts):
+            rows[0] = (np.zeros(1, np.int64), np.zeros((1, 256), np.int64), None)
+        kt, share, seen, log = {}, {}, {}, None
+        for d in (2, 1, 0):
+            c, n, s = rows[d]
+            zeros, ones = decisions(n)
+            if d < 2:
+                s = np.zeros(zeros.shape)
+                if len(rows[d + 1][0]):
+                    np.add.at(s, np.searchsorted(c, rows[d + 1][0] >> 8), log)
+            own = log_kt(zeros, ones)
+            log = np.logaddexp(own, s) - math.log(2)
+            share[d] = np.exp(np.minimum(own - math.log(2) - log, 0))
+            kt[d], seen[d] = (ones + 0.5) / (zeros + ones + 1.0), zeros + ones > 0
+        part, rest, own = np.zeros((1, 255)), np.ones((1, 255)), kt[0]
+        parts, rests, owns = [part + share[0] * kt[0]], [rest * (1 - share[0])], [own]
+        self.row_of = np.zeros(1 << 16, np.int32)
+        first = 1
+        for d in (1, 2):
+            c = rows[d][0]
+            up = np.searchsorted(rows[d - 1][0], c >> 8)
+            known = seen[d]
+            part, rest, own = parts[-1][up], rests[-1][up], owns[-1][up]
+            owns.append(np.where(known, part + rest * kt[d], own))
+            parts.append(np.where(known, part + rest * share[d] * kt[d], own))
+            rests.append(np.where(known, rest * (1 - share[d]), 0.0))
+            at = (first + np.arange(len(c), dtype=np.int32))
+            if d == 1:
+                self.row_of.reshape(256, 256)[c] = at[:, None]
+            else:
+                self.row_of[c] = at
+            first += len(c)
+        # a row that ends above depth 2 has nothing below it
+        for d in (0, 1):
+            parts[d], rests[d] = owns[d], np.zeros_like(rests[d])
+        self.part, self.rest, self.own = (np.concatenate(x).astype(np.float32) for x in (parts, rests, owns))
+
+
+def decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(zeros, ones) at the 255 decisions of rows of symbol counts: decision 2**j - 1 + (first j bits)."""
+    zeros, ones = [], []
+    for j in range(8):
+        halves = counts.reshape(len(counts), 1 << j, 2, 128 >> j).sum(3)
         zeros.append(halves[:, :, 0])
         ones.append(halves[:, :, 1])
-        width //= 2
     return np.concatenate(zeros, 1), np.concatenate(ones, 1)
 
 
-def _symbol_logs(ones: np.ndarray, n: int) -> np.ndarray:
-    """log10 probability of each symbol from the probability of a one at each node."""
-    out, first, width = np.zeros((len(ones), n)), 0, n
-    while width > 1:
-        nodes = n // width
-        p = ones[:, first : first + nodes]
-        both = np.stack([np.log10(1 - p), np.log10(p)], 2).reshape(len(ones), nodes * 2)
-        out += np.repeat(both, width // 2, 1)
-        first, width = first + nodes, width // 2
+def pair_logs(keys: np.ndarray, counts: np.ndarray, outer: Outer) -> np.ndarray:
+    """log10 probability of every pair; keys in order, whole contexts of three bytes."""
+    levels = {DEPTH: Level(keys, counts)}
+    for d in range(DEPTH - 1, OUTER - 1, -1):
+        levels[d] = levels[d + 1].above(d)
+    two = outer.row_of[(keys >> np.uint64(48)).astype(np.int64)]
+    out = np.zeros(len(keys))
+    for j in range(8):
+        share = {}
+        for d in range(DEPTH, OUTER - 1, -1):
+            levels[d].decide(j)
+        for d in range(DEPTH - 1, OUTER - 1, -1):
+            levels[d + 1].parent = levels[d + 1].parents(levels[d])
+            share[d] = _share(levels[d], np.bincount(levels[d + 1].parent, levels[d + 1].log, len(levels[d].log)))
+        # from the deepest node up: a child that training never met leaves the word to its parent
+        at = np.arange(len(levels[DEPTH].kt))
+        q, met = levels[DEPTH].kt.copy(), levels[DEPTH].all > 0
+        for d in range(DEPTH - 1, OUTER - 1, -1):
+            at = levels[d + 1].parent[at]
+            w, own = share[d][at], levels[d].kt[at]
+            q = np.where(met, w * own + (1 - w) * q, own)
+            met = levels[d].all[at] > 0
+        node, deepest = (1 << j) - 1 + (keys & _SYM).astype(np.int64) // (1 << (8 - j)), levels[DEPTH].node
+        q, met = q[deepest], met[deepest]
+        p = np.where(met, outer.part[two, node] + outer.rest[two, node] * q, outer.own[two, node])
+        bit = (keys >> np.uint64(7 - j)) & np.uint64(1)
+        out += np.log10(np.where(bit == 1, p, 1 - p))
     return out
 
 
-def weighted_tables(keys: np.ndarray, counts: np.ndarray, depth: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row of every context, log10 probabilities of every row) from the counts of full-depth contexts.
+# --- jobs ------------------------------------------------------------------------
 
-    keys: contexts in ascending order, the latest symbol in the high bits; counts: a row of symbol counts for each.
-    """
-    n = counts.shape[1]
-    levels = [None] * (depth + 1)
-    levels[depth] = (keys, counts)
-    for d in range(depth - 1, -1, -1):
-        below, c = levels[d + 1]
-        up = below >> bits
-        begin = np.flatnonzero(np.concatenate([[True], up[1:] != up[:-1]])) if len(up) else np.empty(0, np.int64)
-        levels[d] = (up[begin], np.add.reduceat(c, begin, 0) if len(up) else c)
-    if not len(keys):
-        levels[0] = (np.zeros(1, np.int64), np.zeros((1, n), counts.dtype))
-    share, kt, log_w = [None] * (depth + 1), [None] * (depth + 1), None
-    for d in range(depth, -1, -1):
-        z, o = _decisions(levels[d][1])
-        log_kt = log_gamma(z + 0.5) + log_gamma(o + 0.5) - log_gamma(z + o + 1.0) - math.log(math.pi)
-        kt[d] = (o + 0.5) / (z + o + 1.0)
-        if d == depth or not len(levels[d + 1][0]):
-            log_w, share[d] = log_kt, np.ones_like(log_kt)
-            continue
-        up = levels[d + 1][0] >> bits
-        begin = np.flatnonzero(np.concatenate([[True], up[1:] != up[:-1]]))
-        mixed = np.logaddexp(log_kt, np.add.reduceat(log_w, begin, 0)) - math.log(2)
-        share[d] = np.exp(np.minimum(log_kt - math.log(2) - mixed, 0))
-        log_w = mixed
-    logs, row_of, at = [], np.zeros(1 << (depth * bits), np.int32), 0
-    for d in range(depth + 1):
-        own = levels[d][0]
-        if not len(own):
+BLOCKS = "kind int, bucket int, block string, keys binary, counts binary"
+
+
+def _fs(uri: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
+def _save(folder: str, rows: pa.RecordBatch) -> str:
+    """A block's texts as a file of the shared folder; a repeated task writes another that only its own rows name."""
+    fs, root = _fs(folder)
+    path = f"{root}/block-{uuid.uuid4().hex}.arrow"
+    fs.create_dir(root, recursive=True)
+    with fs.open_output_stream(path, compression=None) as sink, pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(rows)
+    return path
+
+
+def _load(folder: str, path: str) -> pa.RecordBatch:
+    fs, _ = _fs(folder)
+    with fs.open_input_stream(path, compression=None) as source, pa.ipc.open_stream(source) as reader:
+        return reader.read_next_batch()
+
+
+def _block_rows(folder: str, buckets: int):
+    def settle(rows: pa.RecordBatch):
+        path = _save(folder, rows)
+        trained = ~rows.column(1).to_numpy(zero_copy_only=False)
+        text = rows.column(2)
+        for kind, (keys, counts) in ((PAIRS, block_pairs(*grams.flat(text), trained)), (WORDS, block_words(text, trained))):
+            bucket = bucket_of(kind, keys, buckets)
+            order = np.argsort(bucket, kind="stable")
+            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            there = np.flatnonzero(np.diff(cut))
+            for lo in range(0, len(there), 256):
+                some = there[lo : lo + 256].tolist()
+                coded = [pack_keys(keys[i], counts[i]) for i in (order[cut[b] : cut[b + 1]] for b in some)]
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array([path] * len(some)), pa.array([c[0] for c in coded], pa.binary()), pa.array([c[1] for c in coded], pa.binary())], ["kind", "bucket", "block", "keys", "counts"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for part in grams.slices(batch, 2, BLOCK):
+                n = len(grams.flat(part.column(2))[0])
+                if held and size + n > BLOCK:
+                    yield from settle(_joined(held))
+                    held, size = [], 0
+                held.append(part)
+                size += n
+        if held:
+            yield from settle(_joined(held))
+
+    return run
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
+def _three_rows(batches):
+    """(two, key, n): counts of contexts of three bytes and symbols, key without the two bytes on top."""
+    parts: list = []
+
+    def rows():
+        k, n = _merged(parts)
+        return pa.RecordBatch.from_arrays([pa.array((k >> np.uint64(16)).astype(np.int32)), pa.array((k & np.uint64(0xFFFF)).astype(np.int32)), pa.array(n)], ["two", "key", "n"])
+
+    for batch in batches:
+        for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            k, n = unpack_keys(keys), _unpack(counts, np.uint32).astype(np.int64)
+            short = ((k >> np.uint64(40)) << np.uint64(8)) | (k & _SYM)
+            parts.append(_merged([(short[n > 0], n[n > 0])]))
+            if sum(len(p[0]) for p in parts) > 1 << 20:
+                parts[:] = [_merged(parts)]
+                if len(parts[0][0]) > 1 << 20:
+                    yield rows()
+                    parts.clear()
+    if parts:
+        yield rows()
+
+
+def _outer_rows(batches):
+    """(two, counts, below) for each context of two bytes; rows come in its order."""
+
+    def one(two: int, key: np.ndarray, n: np.ndarray):
+        there, inverse = np.unique(key >> 8, return_inverse=True)
+        counts = np.zeros((len(there), 256), np.int64)
+        np.add.at(counts, (inverse, key & 255), n)
+        return two, counts.sum(0).tobytes(), log_kt(*decisions(counts)).sum(0).tobytes()
+
+    def out(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["two", "counts", "below"])
+
+    rest = None
+    for batch in batches:
+        two, key, n = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
+        if rest is not None:
+            two, key, n = (np.concatenate(x) for x in zip(rest, (two, key, n), strict=True))
+        if not len(two):
             continue
-        q = kt[d].copy()
-        for e in range(d - 1, -1, -1):
-            above = np.searchsorted(levels[e][0], own >> (bits * (d - e)))
-            q = share[e][above] * kt[e][above] + (1 - share[e][above]) * q
-        logs.append(_symbol_logs(q, n).astype(np.float32))
-        row_of.reshape(1 << (bits * d), -1)[own] = (at + np.arange(len(own), dtype=np.int32))[:, None]
-        at += len(own)
-    return row_of, np.concatenate(logs)
-
-
-class Model:
-    """The finished tables and what the base score needs."""
-
-    def __init__(self, counts: DataFrame):
-        tree = counts.where(F.col("kind") != WORDS).toPandas()
-        self.rows, self.logs = self._tables(tree[tree.kind == CLASSES], CLASS_BITS, DEPTH, CLASS_BITS)
-        self.byte_rows, self.byte_logs = self._tables(tree[tree.kind == BYTES], 8, 1, 8)
-        words = counts.where(F.col("kind") == WORDS)
-        row = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
-        self.tokens, self.distinct = int(row.n), int(row.v)
-        top = words.where("n > 0").orderBy(F.desc("n"), "key").limit(FREQUENT).collect()
-        pairs = sorted((r.key, r.n) for r in top)
-        self.known = np.array([k for k, _ in pairs], np.int64)
-        self.known_n = np.array([n for _, n in pairs], np.int64)
-        self.end_n = next((n for k, n in pairs if k == END_KEY), None)
-
-    @staticmethod
-    def _tables(frame, symbol_bits: int, depth: int, bits: int):
-        key, n = frame["key"].to_numpy(np.int64), frame["n"].to_numpy(np.int64)
-        contexts, row = np.unique(key >> symbol_bits, return_inverse=True)
-        counts = np.zeros((len(contexts), 1 << symbol_bits), np.int64)
-        counts[row, key & ((1 << symbol_bits) - 1)] = n
-        return weighted_tables(contexts, counts, depth, bits)
-
-    def log10(self, column: pa.Array) -> np.ndarray:
-        """log10 probability of each text."""
-        doc, context, classes, last, raw = symbols(column)
-        logs = self.logs[self.rows[context], classes].astype(np.float64)
-        more = np.flatnonzero(_several(classes))
-        logs[more] += self.byte_logs[self.byte_rows[last[more]], raw[more]]
-        return np.bincount(doc, logs, len(column))
-
-
-def _score_rows(shared):
+        begin = np.flatnonzero(np.concatenate([[True], two[1:] != two[:-1]]))
+        cut = begin[-1]
+        found = [one(int(two[a]), key[a:b], n[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)]
+        rest = (two[cut:], key[cut:], n[cut:])
+        if found:
+            yield out(found)
+    if rest is not None and len(rest[0]):
+        yield out([one(int(rest[0][0]), rest[1], rest[2])])
+
+
+def outer_tree(blocks: DataFrame) -> Outer:
+    counted = blocks.where(F.col("kind") == PAIRS).select("keys", "counts").mapInArrow(_three_rows, "two int, key int, n bigint")
+    summed = counted.repartition("two").groupBy("two", "key").agg(F.sum("n").alias("n")).sortWithinPartitions("two")
+    rows = sorted(summed.mapInArrow(_outer_rows, "two int, counts binary, below binary").collect())
+    two = np.array([r.two & 0xFFFF for r in rows], np.int64)
+    counts = np.array([np.frombuffer(r.counts, np.int64) for r in rows], np.int64).reshape(-1, 256)
+    below = np.array([np.frombuffer(r.below) for r in rows], float).reshape(-1, 255)
+    return Outer(two, counts, below)
+
+
+def _in_buckets(answer):
+    """Runs over blocks' rows in the order of (kind, bucket): adds each bucket up and answers its blocks."""
+
+    def close(kind, held):
+        parts: list = []
+        size = 0
+        for _, keys, counts in held:
+            k = unpack_keys(keys)
+            parts.append((k, _unpack(counts, np.uint32).astype(np.int64)))
+            size += len(k)
+            if size > 1 << 22:
+                parts = [_merged(parts)]
+                size = len(parts[0][0])
+        keys, counts = _merged(parts)
+        values = answer(kind, keys, counts)
+        for lo in range(0, len(held), 64):
+            yield [(block, _pack(values[np.searchsorted(keys, unpack_keys(own))])) for block, own, _ in held[lo : lo + 64]]
+
     def run(batches):
-        from pyspark import TaskContext
+        now, held = None, []
+        for batch in batches:
+            for kind, bucket, block, keys, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (kind, bucket) != now:
+                    if held:
+                        for rows in close(now[0], held):
+                            yield _answers(now, rows)
+                    now, held = (kind, bucket), []
+                held.append((block, keys, counts))
+        if held:
+            for rows in close(now[0], held):
+                yield _answers(now, rows)
+
+    return run
+
 
-        model, number = shared.value, TaskContext.get().partitionId() << 40
+def _answers(of, rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([of[0]] * len(rows), pa.int32()), pa.array([of[1]] * len(rows), pa.int32()), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.binary())], ["kind", "bucket", "block", "answer"])
+
+
+def _answer(shared):
+    def values(kind: int, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        if kind == WORDS:
+            return counts.astype(np.uint32)
+        return np.minimum(np.rint(-SCALE * pair_logs(keys, counts, shared.value)), 65535).astype(np.uint16)
+
+    return lambda batches: _in_buckets(values)(batches)
+
+
+def _vocabulary_rows(batches):
+    """Tokens and distinct words of whole buckets in training."""
+    tokens = distinct = 0
+
+    def count(kind, keys, counts):
+        nonlocal tokens, distinct
+        tokens, distinct = tokens + int(counts.sum()), distinct + int((counts > 0).sum())
+        return np.zeros(len(keys), np.uint8)
+
+    for _ in _in_buckets(count)(batches):
+        pass
+    yield pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([distinct])], ["tokens", "words"])
+
+
+def _score_rows(folder: str, buckets: int):
+    def close(block, answers):
+        rows = _load(folder, block)
+        text, n = rows.column(2), rows.num_rows
+        data, offsets = grams.flat(text)
+        everyone = np.ones(n, bool)
+        found = {}
+        for kind, (keys, _) in ((PAIRS, block_pairs(data, offsets, everyone)), (WORDS, block_words(text, everyone))):
+            bucket = bucket_of(kind, keys, buckets)
+            order = np.argsort(bucket, kind="stable")
+            values = np.empty(len(keys), np.uint32)
+            values[order] = np.concatenate([_unpack(answers[kind, b], np.uint16 if kind == PAIRS else np.uint32) for b in np.unique(bucket).tolist()])
+            found[kind] = keys, values
+        keys, values = found[PAIRS]
+        flat, symbol, starts = padded(data, offsets)
+        edges, total = np.append(starts, len(flat) + 1), np.zeros(n)
+        for at, key in windows_of_keys(flat, symbol):
+            order = np.argsort(key)
+            place = np.searchsorted(keys, key[order])
+            total += np.bincount(np.searchsorted(edges, at[order], "right") - 1, values[place], n)
+        keys, values = found[WORDS]
+        tokens, known, logs = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
+        first = 0
+        for part in grams.slices(pa.RecordBatch.from_arrays([text], ["text"]), 0):
+            h, doc = word_keys(part.column(0))
+            c, doc = values[np.searchsorted(keys, h)], doc + first
+            tokens += np.bincount(doc, minlength=n)
+            known += np.bincount(doc[c > 0], minlength=n)
+            logs += np.bincount(doc, np.log10(c + 0.5), n)
+            first += part.num_rows
+        score = total / -SCALE
+        bits = -score * math.log2(10) / np.maximum(np.diff(offsets), 1)
+        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(tokens), pa.array(known), pa.array(logs), pa.array(score), pa.array(bits)], ["doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "bits_per_byte"])
+
+    def run(batches):
+        now, answers = None, {}
         for batch in batches:
-            for part in grams.slices(batch, 2, SLICE):
-                n = part.num_rows
-                score = model.log10(part.column(2))
-                h, doc, _ = grams.word_hashes(part.column(2), lower=True)
-                h, doc = np.append(h.view(np.int64), np.full(n, END_KEY)), np.append(doc, np.arange(n))
-                at = np.minimum(np.searchsorted(model.known, h), max(len(model.known) - 1, 0))
-                hit = model.known[at] == h if len(model.known) else np.zeros(len(h), bool)
-                logs = np.bincount(doc[hit], np.log10(model.known_n[at[hit]] + 0.5), n)
-                known = np.bincount(doc[hit], minlength=n)
-                rare = np.lexsort((h[~hit], doc[~hit]))
-                rd, rh = doc[~hit][rare], h[~hit][rare]
-                begin = np.flatnonzero(np.concatenate([[True], (rd[1:] != rd[:-1]) | (rh[1:] != rh[:-1])])) if len(rd) else np.empty(0, np.int64)
-                times = np.diff(np.append(begin, len(rd)))
-                lists = np.searchsorted(rd[begin], np.arange(n + 1)).astype(np.int32)
-                pairs = pa.StructArray.from_arrays([pa.array(rh[begin]), pa.array(times)], ["key", "n"])
-                tokens = np.bincount(doc, minlength=n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(number + np.arange(n)), part.column(0), part.column(1), pa.array(tokens), pa.array(known), pa.array(logs), pa.array(score), pa.ListArray.from_arrays(pa.array(lists), pairs)],
-                    ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "rare"],
-                )
-                number += n
+            for kind, bucket, block, answer in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if block != now:
+                    if answers:
+                        yield close(now, answers)
+                    now, answers = block, {}
+                answers[kind, bucket] = answer
+        if answers:
+            yield close(now, answers)
 
     return run
 
 
 def score(docs: DataFrame, fold: int = 5, held: int = 1) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every document.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte (the code length) for every document.
 
     Learns from the documents whose crc32(id as text) modulo `fold` isn't `held`.
     """
     spark = docs.sparkSession
     rest = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold, F.lit(0))
-    texts = docs.select("doc_id", (rest == held).alias("held_out"), F.col("text").cast("string").alias("text"))
-    counted = texts.where("NOT held_out").select("text").mapInArrow(_count_rows, "kind int, key bigint, n bigint")
-    counts = written(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    model = Model(counts)
+    texts = docs.select("doc_id", (rest == held).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = min(MOST_BUCKETS, max(16, size // BUCKET_BYTES))
+    folder = scratch_path(spark, "texts")
+    blocks = written(texts.mapInArrow(_block_rows(folder, buckets), BLOCKS), "blocks")
+    outer = spark.sparkContext.broadcast(outer_tree(blocks))
+    dealt = blocks.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
+    row = blocks.where(F.col("kind") == WORDS).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_vocabulary_rows, "tokens bigint, words bigint").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("v")).first()
+    answers = dealt.mapInArrow(_answer(outer), "kind int, bucket int, block string, answer binary")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, logs double, score double, rare array<struct<key:bigint,n:bigint>>"
-    scored = written(texts.mapInArrow(_score_rows(spark.sparkContext.broadcast(model)), schema), "scored")
-    words = counts.where((F.col("kind") == WORDS) & (F.col("n") > 0)).select("key", F.col("n").alias("c"))
-    rare = scored.select("row", F.explode("rare").alias("w")).select("row", "w.key", "w.n").join(words.hint("merge"), "key", "left")
-    sums = rare.groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more_logs"))
-    base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * math.log10(model.tokens + 0.5 * (model.distinct + 1))
-    return scored.drop("rare").join(sums.hint("merge"), "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score",
-    )
+    schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double, bits_per_byte double"
+    scored = answers.repartition("block").sortWithinPartitions("block").mapInArrow(_score_rows(folder, buckets), schema)
+    base = F.col("logs") - F.col("n_tokens") * math.log10(row.n + 0.5 * (row.v + 1))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(row.n).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score", "bits_per_byte")

@@ -21,58 +21,52 @@ def lowered(t):
 
 
 def decisions(t):
-    """(tree, full context, node, bit) of every binary decision, from the definition."""
-    data = lowered(t).encode()
-    seen, last = [ctw.EDGE] * ctw.DEPTH, 0
-    for b in [*data, None]:
-        c = ctw.EDGE if b is None else int(ctw.CLASS[b])
-        node = 1
-        for k in range(4, -1, -1):
-            yield "c", tuple(reversed(seen[-ctw.DEPTH :])), node, c >> k & 1
-            node = node * 2 + (c >> k & 1)
-        if ctw.BLANK <= c <= ctw.WIDE:
-            node = 1
-            for k in range(7, -1, -1):
-                yield "b", (last,), node, b >> k & 1
-                node = node * 2 + (b >> k & 1)
-        seen.append(c)
-        last = b
+    """(context, latest byte first; the bits decided so far; the next bit) of every binary decision, from the definition."""
+    seen = [ctw.EDGE] * ctw.DEPTH
+    for b in [*lowered(t).encode(), ctw.EDGE]:
+        for k in range(8):
+            yield tuple(reversed(seen[-ctw.DEPTH :])), (k, b >> (8 - k)), b >> (7 - k) & 1
+        seen.append(b)
 
 
 def brute_score(train, texts):
     counts, children = defaultdict(lambda: [0, 0]), defaultdict(set)
     for t in train:
-        for tree, ctx, node, bit in decisions(t):
-            for d in range(len(ctx) + 1):
-                counts[tree, node, ctx[:d]][bit] += 1
-                children[tree, ctx[:d]].add(ctx[: d + 1]) if d < len(ctx) else None
-    full = {"c": ctw.DEPTH, "b": 1}
+        for ctx, node, bit in decisions(t):
+            for d in range(ctw.DEPTH + 1):
+                counts[node, ctx[:d]][bit] += 1
+                if d < ctw.DEPTH:
+                    children[node, ctx[:d]].add(ctx[: d + 1])
     memo = {}
 
-    def log_kt(a, b):
+    def log_kt(node, ctx):
+        a, b = counts.get((node, ctx), (0, 0))
         return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
 
-    def log_w(tree, node, ctx):
-        if (tree, node, ctx) not in memo:
-            kt = log_kt(*counts.get((tree, node, ctx), (0, 0)))
-            kids = children.get((tree, ctx), ())
-            memo[tree, node, ctx] = kt if len(ctx) == full[tree] or not kids else np.logaddexp(kt, sum(log_w(tree, node, k) for k in kids)) - math.log(2)
-        return memo[tree, node, ctx]
+    def log_w(node, ctx, leaf):
+        """The mixture at a node of the tree that ends at depth `leaf`."""
+        if len(ctx) == leaf:
+            return log_kt(node, ctx)
+        if (node, ctx, leaf) not in memo:
+            memo[node, ctx, leaf] = np.logaddexp(log_kt(node, ctx), sum(log_w(node, k, leaf) for k in children[node, ctx])) - math.log(2)
+        return memo[node, ctx, leaf]
 
-    def p_one(tree, node, ctx, d=0):
-        a, b = counts.get((tree, node, ctx[:d]), (0, 0))
+    def p_one(node, ctx, d=0):
+        a, b = counts.get((node, ctx[:d]), (0, 0))
         kt = (b + 0.5) / (a + b + 1)
-        if d == full[tree] or ctx[: d + 1] not in children.get((tree, ctx[:d]), ()):
+        if d == ctw.DEPTH or ctx[: d + 1] not in children.get((node, ctx[:d]), ()):
             return kt
-        w = math.exp(log_kt(a, b) - math.log(2) - log_w(tree, node, ctx[:d]))
-        return w * kt + (1 - w) * p_one(tree, node, ctx, d + 1)
+        w = math.exp(log_kt(node, ctx[:d]) - math.log(2) - log_w(node, ctx[:d], ctw.OUTER if d < ctw.OUTER else ctw.DEPTH))
+        return w * kt + (1 - w) * p_one(node, ctx, d + 1)
 
-    return [sum(math.log10(p if bit else 1 - p) for tree, ctx, node, bit in decisions(t) for p in [p_one(tree, node, ctx)]) for t in texts]
+    return [sum(math.log10(p if bit else 1 - p) for ctx, node, bit in decisions(t) for p in [p_one(node, ctx)]) for t in texts]
 
 
-@pytest.mark.parametrize("frequent", [1 << 16, 3])
-def test_scores_equal_the_definition(spark, monkeypatch, frequent):
-    monkeypatch.setattr(ctw, "FREQUENT", frequent)
+@pytest.mark.parametrize("block", [16 << 20, 40])
+def test_scores_equal_the_definition(spark, monkeypatch, block):
+    """In one block and in many, whose windows cut through texts."""
+    monkeypatch.setattr(ctw, "BLOCK", block)
+    monkeypatch.setattr(ctw, "WINDOW", min(block, ctw.WINDOW))
     rows = list(enumerate(TEXTS)) + [(1, TEXTS[1]), (None, "null id")]
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id bigint, text string, row int").repartition(3)
     got = sorted(ctw.score(docs).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens))
@@ -87,24 +81,61 @@ def test_scores_equal_the_definition(spark, monkeypatch, frequent):
         assert (r.doc_id, r.held_out) == (i, i is not None and held(i))
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(c[x] > 0 for x in w), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), abs=1e-8)
-        assert r.score == pytest.approx(s, rel=1e-5, abs=1e-5)
-
-
-def test_the_model_is_a_distribution():
-    keys = np.array([5, 6, 37, 1029])
-    counts = np.random.default_rng(1).integers(0, 9, (4, 32))
-    rows, logs = ctw.weighted_tables(keys, counts, 4, 5)
-    assert np.allclose((10.0 ** logs.astype(float)).sum(1), 1, atol=1e-5) and rows.max() == len(logs) - 1
-    rows, logs = ctw.weighted_tables(np.empty(0, np.int64), np.empty((0, 32), np.int64), 4, 5)
-    assert np.allclose(logs, -5 * math.log10(2)) and not rows.any()
+        # an answer has steps of 1/1024
+        assert r.score == pytest.approx(s, abs=(len((t or "").encode()) + 1) / ctw.SCALE / 2)
+        assert r.bits_per_byte == pytest.approx(-r.score * math.log2(10) / max(1, len((t or "").encode())))
+
+
+def test_logs_equal_the_definition_closely():
+    data, offsets = ctw.grams.flat(pa.array(TEXTS))
+    trained = np.array([i % 3 > 0 for i in range(len(TEXTS))])
+    keys, counts = ctw.block_pairs(data, offsets, trained)
+    three = defaultdict(lambda: np.zeros((1, 256), np.int64))
+    for k, n in zip(keys.tolist(), counts.tolist(), strict=True):
+        if n:
+            three[k >> 40][0, k & 255] += n
+    two = sorted({k >> 8 for k in three})
+    rows = [[v for k, v in three.items() if k >> 8 == t] for t in two]
+    outer = ctw.Outer(np.array(two), np.array([sum(r)[0] for r in rows]), np.array([sum(ctw.log_kt(*ctw.decisions(x)) for x in r)[0] for r in rows]))
+    logs = dict(zip(keys.tolist(), ctw.pair_logs(keys, counts, outer).tolist(), strict=True))
+    flat, symbol, starts = ctw.padded(data, offsets)
+    at, key = next(ctw.windows_of_keys(flat, symbol))
+    got = np.bincount(np.searchsorted(starts, at, "right") - 1, [logs[k] for k in key.tolist()], len(TEXTS))
+    want = brute_score([t for t, x in zip(TEXTS, trained, strict=True) if x], TEXTS)
+    assert np.allclose(got, want, atol=2e-5)  # the outer rows are in single precision
+
+
+def test_every_context_gives_a_distribution():
+    """The probabilities of all 256 symbols after one context add up to one, met or not."""
+    data, offsets = ctw.grams.flat(pa.array(TEXTS))
+    keys, counts = ctw.block_pairs(data, offsets, np.ones(len(TEXTS), bool))
+    outer = ctw.Outer(np.array([0x6874]), np.full((1, 256), 3), np.full((1, 255), -9.0))
+    for context in (keys[5] >> np.uint64(8), np.uint64(0x20616161616161), np.uint64(0x68742020202020)):
+        more = (context << np.uint64(8)) | np.arange(256, dtype=np.uint64)
+        k, n = ctw._merged([(keys, counts), (more, np.zeros(256, np.int64))])
+        logs = ctw.pair_logs(k, n, outer)[np.searchsorted(k, more)]
+        assert abs((10.0**logs).sum() - 1) < 1e-5
     assert np.allclose(ctw.log_gamma(np.array([0.5, 1, 3.5, 200])), [math.lgamma(x) for x in (0.5, 1, 3.5, 200)])
+    assert np.allclose(ctw.log_kt(np.array([0, 3, 40_000]), np.array([0, 1, 9])), [math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi) for a, b in ((0, 0), (3, 1), (40_000, 9))])
 
 
-def test_empty_table(spark):
-    assert ctw.score(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+def test_what_training_never_met_and_copies_of_a_text(spark):
+    """Held-out copies of learned texts have shorter codes on the mean than other texts of the same words; without training every bit costs one."""
+    import random
 
+    rng = random.Random(4)
+    voc = ["".join(rng.choices("abcdefghilmnorstu", k=rng.randint(2, 8))) for _ in range(300)]
+    texts = [" ".join(rng.choices(voc, k=80)) for _ in range(160)]
+    ids = [i for i in range(2000) if held(i)][:20], [i for i in range(2000) if not held(i)][:160]
+    rows = list(zip(ids[1], texts, strict=True)) + [(i, texts[k] if k < 10 else " ".join(rng.choices(voc, k=80))) for k, i in enumerate(ids[0])]
+    got = {r.doc_id: r.bits_per_byte for r in ctw.score(spark.createDataFrame(rows, "doc_id bigint, text string")).where("held_out").collect()}
+    copies, others = [got[i] for i in ids[0][:10]], [got[i] for i in ids[0][10:]]
+    assert np.mean(copies) < np.mean(others) - 0.03
+    alone = ctw.score(spark.createDataFrame([(ids[0][0], "abc", 1)], "doc_id bigint, text string, score int")).first()
+    assert alone.score == pytest.approx(4 * 8 * math.log10(0.5), abs=4 / ctw.SCALE) and (alone.n_known, alone.train_tokens) == (0, 0)
 
-def test_contexts_reset_between_documents():
-    a = ctw.symbols(pa.array(["ab", "cd"]))
-    b = ctw.symbols(pa.array(["cd"]))
-    assert a[1][a[0] == 1].tolist() == b[1].tolist()
+
+def test_empty_table_and_string_ids(spark):
+    assert ctw.score(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+    r = ctw.score(spark.createDataFrame([("a", "x" * 70_000, 1), ("b", "\x00\x01 x", 1)], "doc_id string, text string, logs int").repartition(2)).collect()
+    assert sorted(x.doc_id for x in r) == ["a", "b"] and all(x.score < 0 for x in r)
