@@ -33,7 +33,7 @@ def same(a, b):
 
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query(spark, duck, name):
-    if name in ("graph_girvan_newman", "stack_predict") and not os.environ.get("SLOW_TESTS"):
+    if name in ("graph_girvan_newman", "stack_predict", "third_predict") and not os.environ.get("SLOW_TESTS"):
         pytest.skip("minutes long; run with SLOW_TESTS=1")
     df = entry.queries()[name](spark, D)
     columns = sorted(df.columns)
