@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodespark.functions.scalars import mahalanobis
 from lodespark.session import written
 
 
@@ -25,12 +26,17 @@ def summaries(points: DataFrame, group: str, vector: str = "x") -> DataFrame:
 
 
 def nearest(points: DataFrame, clusters: DataFrame, key: str, group: str, vector: str = "x") -> DataFrame:
-    """(key, group, distance): the nearest cluster by Mahalanobis distance; a dimension without spread admits equal values only."""
-    long = points.select(key, F.posexplode(vector).alias("dim", "v"))
-    z = F.when(F.col("sd") > 0, (F.col("v") - F.col("mean")) / F.col("sd")).when(F.col("v") == F.col("mean"), F.lit(0.0)).otherwise(F.lit(float("inf")))
-    laid = long.join(clusters.select(group, F.col("dim").alias("d2"), "mean", "sd"), F.col("dim") == F.col("d2"))
-    far = laid.groupBy(key, group).agg(F.sqrt(F.sum(z * z)).alias("distance"))
-    return far.groupBy(key).agg(F.min_by(group, F.struct("distance", group)).alias(group), F.min("distance").alias("distance"))
+    """(key, group, distance): the nearest cluster by Mahalanobis distance; a dimension without spread admits equal values only.
+
+    The clusters (a bounded number of summaries) travel as one row, and each point
+    is judged in its own row, so points are not shuffled.
+    """
+    each = clusters.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("dim", "mean", "sd"))).alias("_d"))
+    one = each.agg(F.collect_list(F.struct(group, F.col("_d.mean").alias("mean"), F.col("_d.sd").alias("sd"))).alias("_clusters"))
+    x = F.transform(F.col(vector), lambda v: v.cast("double"))
+    near = F.array_min(F.transform("_clusters", lambda c: F.struct(mahalanobis(F.col("_x"), c["mean"], c["sd"]).alias("distance"), c[group].alias(group))))
+    found = points.select(key, x.alias("_x")).crossJoin(F.broadcast(one)).where(F.size("_clusters") > 0).select(key, near.alias("_n"))
+    return found.select(key, F.col(f"_n.{group}").alias(group), F.col("_n.distance").alias("distance"))
 
 
 @dataclass

@@ -49,8 +49,9 @@ def frequent_itemsets(pairs: DataFrame, key: str, item: str, support: float, max
     found, level, matches, k = ones, ones, long.select("key", F.array("item").alias("items")), 2
     while not level.isEmpty() and (max_size is None or k <= max_size):
         level, matches = _counted(long, matches.join(level, "items", "left_semi"), candidates(level.select("items"), k), support)
-        matches = written(matches, "matches")
         found, k = found.unionByName(level), k + 1
+        if max_size is None or k <= max_size:
+            matches = written(matches, "matches")
     return found.select("items", F.size("items").alias("size"), "n")
 
 

@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodespark.functions.scalars import bloom_bits, fm_hashes, half_even, trailing_zeros
+from lodespark.session import written
 
 
 def numbered(df: DataFrame, order: list[str], size: int) -> DataFrame:
     """Adds seq (from 1) in the given order and batch (from 0).
 
-    Rows are numbered within ranges of the order and the ranges' sizes added up, so no task holds them all.
+    Rows are numbered within ranges of the order and the ranges' sizes added up, so no task holds them all. The
+    ranges are written once, so that both steps see the same ones.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    ranged = written(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
     within = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     sizes = within.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.col("b._p") < F.col("a._p"), "left").groupBy(F.col("a._p").alias("_p")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))

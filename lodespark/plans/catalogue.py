@@ -79,7 +79,10 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def held_out(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    split = ratings(spark, d).withColumn("bucket", S.pair_bucket("u", "b", "hold"))
+    """The ratings to learn from and those held out, written once for the many passes over them."""
+    from lodespark.session import written
+
+    split = written(ratings(spark, d).withColumn("bucket", S.pair_bucket("u", "b", "hold")), "split")
     return split.where("bucket >= 100").select("u", "b", "stars"), split.where("bucket < 100").select("u", "b", "stars")
 
 

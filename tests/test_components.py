@@ -5,7 +5,7 @@ from lodespark.operators.components import connected_components
 
 def test_components_against_union_find(spark):
     random.seed(3)
-    edges = [(random.randrange(120), random.randrange(120)) for _ in range(70)] + [(i, i + 1) for i in range(200, 260)] + [(500, i) for i in range(400, 440)] + [(7, 7), (None, 3)]
+    edges = [(random.randrange(120), random.randrange(120)) for _ in range(70)] + [(i, i + 1) for i in range(200, 260)] + [(500, i) for i in range(400, 440)] + [(900, i) for i in range(1000, 1400)] + [(i, 901) for i in range(1390, 1700)] + [(7, 7), (None, 3)]
     parent = {}
 
     def find(x):
