@@ -49,7 +49,7 @@ from lodespark.session import scratch_path, written
 DEPTH, OUTER = 7, 3
 EDGE = 0xFF  # stands in no UTF-8 text: before the start and at the end
 END_WORD = 0x656E64
-BLOCK, WINDOW = 16 << 20, 2 << 20
+BLOCK, WINDOW = 16 << 20, 1 << 20
 BUCKET_BYTES, MOST_BUCKETS = 12 << 20, 8192
 #: Steps of an answer: 1/1024 in log10.
 SCALE = 1024
@@ -136,6 +136,17 @@ def block_pairs(data: np.ndarray, offsets: np.ndarray, trained: np.ndarray) -> t
     return _merged(parts) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
+def block_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The block's distinct keys alone."""
+    flat, symbol, _ = padded(data, offsets)
+    parts: list = []
+    for _, key in windows_of_keys(flat, symbol):
+        parts.append(np.unique(key))
+        if len(parts) >= 4:
+            parts = [np.unique(np.concatenate(parts))]
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+
+
 def word_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hash, document) of every word and of every document's end."""
     h, doc, _ = grams.word_hashes(column, lower=True)
@@ -480,30 +491,27 @@ def _in_buckets(answer):
 
 
 def _answers(of, rows) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([of[0]] * len(rows), pa.int32()), pa.array([of[1]] * len(rows), pa.int32()), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.binary())], ["kind", "bucket", "block", "answer"])
+    return pa.RecordBatch.from_arrays([pa.array([of[0]] * len(rows), pa.int32()), pa.array([of[1]] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["kind", "bucket", "block", "answer"])
 
 
-def _answer(shared):
+def _pair_answers(shared):
     def values(kind: int, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        if kind == WORDS:
-            return counts.astype(np.uint32)
         return np.minimum(np.rint(-SCALE * pair_logs(keys, counts, shared.value)), 65535).astype(np.uint16)
 
     return lambda batches: _in_buckets(values)(batches)
 
 
-def _vocabulary_rows(batches):
-    """Tokens and distinct words of whole buckets in training."""
+def _word_answers(batches):
+    """Every word's count in training; and, in a row without a block, a task's tokens and distinct words."""
     tokens = distinct = 0
 
     def count(kind, keys, counts):
         nonlocal tokens, distinct
         tokens, distinct = tokens + int(counts.sum()), distinct + int((counts > 0).sum())
-        return np.zeros(len(keys), np.uint8)
+        return counts.astype(np.uint32)
 
-    for _ in _in_buckets(count)(batches):
-        pass
-    yield pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([distinct])], ["tokens", "words"])
+    yield from _in_buckets(count)(batches)
+    yield _answers((WORDS, -1), [(None, np.array([tokens, distinct], np.int64).tobytes())])
 
 
 def _score_rows(folder: str, buckets: int):
@@ -511,22 +519,24 @@ def _score_rows(folder: str, buckets: int):
         rows = _load(folder, block)
         text, n = rows.column(2), rows.num_rows
         data, offsets = grams.flat(text)
-        everyone = np.ones(n, bool)
-        found = {}
-        for kind, (keys, _) in ((PAIRS, block_pairs(data, offsets, everyone)), (WORDS, block_words(text, everyone))):
-            bucket = bucket_of(kind, keys, buckets)
-            order = np.argsort(bucket, kind="stable")
-            values = np.empty(len(keys), np.uint32)
-            values[order] = np.concatenate([_unpack(answers[kind, b], np.uint16 if kind == PAIRS else np.uint32) for b in np.unique(bucket).tolist()])
-            found[kind] = keys, values
-        keys, values = found[PAIRS]
         flat, symbol, starts = padded(data, offsets)
+
+        def answered(kind: int, keys: np.ndarray) -> np.ndarray:
+            whole = np.uint16 if kind == PAIRS else np.uint32
+            bucket = bucket_of(kind, keys, buckets)
+            values = np.empty(len(keys), whole)
+            values[np.argsort(bucket, kind="stable")] = np.concatenate([_unpack(answers[kind, b], whole) for b in np.unique(bucket).tolist()])
+            return values
+
+        keys = block_keys(data, offsets)
+        values = answered(PAIRS, keys)
         edges, total = np.append(starts, len(flat) + 1), np.zeros(n)
         for at, key in windows_of_keys(flat, symbol):
             order = np.argsort(key)
             place = np.searchsorted(keys, key[order])
             total += np.bincount(np.searchsorted(edges, at[order], "right") - 1, values[place], n)
-        keys, values = found[WORDS]
+        keys = block_words(text, np.zeros(n, bool))[0]
+        values = answered(WORDS, keys)
         tokens, known, logs = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
         first = 0
         for part in grams.slices(pa.RecordBatch.from_arrays([text], ["text"]), 0):
@@ -568,11 +578,14 @@ def score(docs: DataFrame, fold: int = 5, held: int = 1) -> DataFrame:
     folder = scratch_path(spark, "texts")
     blocks = written(texts.mapInArrow(_block_rows(folder, buckets), BLOCKS), "blocks")
     outer = spark.sparkContext.broadcast(outer_tree(blocks))
-    dealt = blocks.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
-    row = blocks.where(F.col("kind") == WORDS).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_vocabulary_rows, "tokens bigint, words bigint").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("v")).first()
-    answers = dealt.mapInArrow(_answer(outer), "kind int, bucket int, block string, answer binary")
+    dealt = lambda kind: blocks.where(F.col("kind") == kind).repartition("bucket").sortWithinPartitions("bucket")
+    columns = "kind int, bucket int, block string, answer binary"
+    words = written(dealt(WORDS).mapInArrow(_word_answers, columns), "words")
+    sums = [np.frombuffer(r.answer, np.int64) for r in words.where("block IS NULL").select("answer").collect()]  # a row a task
+    tokens, distinct = (int(x) for x in np.sum(sums, 0)) if sums else (0, 0)
+    answers = dealt(PAIRS).mapInArrow(_pair_answers(outer), columns).unionByName(words.where("block IS NOT NULL"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double, bits_per_byte double"
     scored = answers.repartition("block").sortWithinPartitions("block").mapInArrow(_score_rows(folder, buckets), schema)
-    base = F.col("logs") - F.col("n_tokens") * math.log10(row.n + 0.5 * (row.v + 1))
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(row.n).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score", "bits_per_byte")
+    base = F.col("logs") - F.col("n_tokens") * math.log10(tokens + 0.5 * (distinct + 1))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score", "bits_per_byte")
