@@ -5,6 +5,7 @@ import sentencepiece
 import corpus_pipeline
 from lodespark.llm import decontaminate, neardup, quality, secretscan
 from lodespark.llm.catalogue import table, vocabulary
+from lodespark.session import written
 
 D = "/root/testdata/sf0.001"
 
@@ -16,14 +17,14 @@ def test_stages_follow_each_other(spark):
     kept = {r.doc_id for r in quality.quality_rules(docs, table(spark, D, "labels")).where("kept").collect()}
     one = corpus_pipeline.quality_rules(spark, docs, D)
     assert one.columns == docs.columns and {r.doc_id for r in one.collect()} == kept and 0 < len(kept) < len(start)
-    one = one.localCheckpoint()
+    one = written(one, "one")
     classes = {r.doc_id: r.class_id for r in neardup.near_duplicates(one).collect()}
-    two = corpus_pipeline.near_duplicates(spark, one, D).localCheckpoint()
+    two = written(corpus_pipeline.near_duplicates(spark, one, D), "stage")
     assert {r.doc_id for r in two.collect()} == set(classes.values()) and len(set(classes.values())) < len(classes)
     hits = {r.doc_id for r in decontaminate.contaminated(two, table(spark, D, "benchmark")).collect()}
-    three = corpus_pipeline.decontamination(spark, two, D).localCheckpoint()
+    three = written(corpus_pipeline.decontamination(spark, two, D), "stage")
     assert {r.doc_id for r in three.collect()} == set(classes.values()) - hits
-    four = corpus_pipeline.secret_scans(spark, three, D).localCheckpoint()
+    four = written(corpus_pipeline.secret_scans(spark, three, D), "stage")
     clean = {r.doc_id: r.text for r in four.collect()}
     assert not [r for r in secretscan.secret_report(four).collect() if r.spans]
     spans = {r.doc_id for r in secretscan.secret_report(three).collect() if r.spans}
@@ -52,3 +53,23 @@ def test_empty_table(spark):
     docs = table(spark, D, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, D).collect() == []
+
+
+def test_odd_rows_in_every_stage(spark):
+    """Nulls in all columns, empty and very long texts, repeated rows, ids of several texts, clashing names."""
+    prose = " ".join(f"word{i % 97} of{i % 31} the{i % 53}" for i in range(60))
+    long = " ".join(f"{w}{i}" for i in range(40_000) for w in ("alpha", "beta"))
+    texts = [None, "", " \n\t", prose, prose, prose + " more", long, "password = hunter2hunter2hunter2 " + prose[::-1], prose[::-1]]
+    rows = [(i if i % 4 else None, t, None if i % 3 else "en", None, None, "x", 0, True) for i, t in enumerate(texts)] + [(3, prose, "en", "s", 1, "y", 1, False)] * 3
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, node string, h int, kept boolean").repartition(3)
+    n, text = len(rows), lambda df: sorted((r.text or "" for r in df.collect()))
+    one = corpus_pipeline.quality_rules(spark, docs, D)
+    assert one.columns == corpus_pipeline.COLUMNS and set(text(one)) <= {t or "" for t in texts} and "" not in text(one)
+    two = corpus_pipeline.near_duplicates(spark, docs, D)
+    assert two.columns == corpus_pipeline.COLUMNS and {t for t in text(two) if t.strip()} == {prose, long, texts[8]} and len(text(two)) == 6
+    three = corpus_pipeline.decontamination(spark, docs, D)
+    assert three.columns == corpus_pipeline.COLUMNS and len(text(three)) == n
+    four = corpus_pipeline.secret_scans(spark, docs, D)
+    assert four.columns == corpus_pipeline.COLUMNS and len(text(four)) == n and not any("hunter2hunter2" in t for t in text(four))
+    five = corpus_pipeline.sentencepiece(spark, docs, D)
+    assert five.count() == n and five.where("n_tokens = 0").count() == 2
