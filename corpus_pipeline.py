@@ -2,6 +2,10 @@
 
 Every stage works on all rows that its predecessor kept; the next one reads them
 back from Parquet in the shared folder.
+
+Cases, alike in all stages: columns may be null; columns beyond those of documents
+are left out, whatever their names; an empty table stays empty; texts of any length
+are worked on whole.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep: null, empty and blank texts go (fewer than 50 words), repeated rows share their fate."""
     docs = docs.select(*COLUMNS)
     weight = quality.weights(docs, table(spark, sf_dir, "labels"))
     others = tuple(c for c in COLUMNS if c != "text")
@@ -25,24 +29,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates: the least id (a null one first), of equal ids the least text by MD5, once; blank texts all stay."""
     return neardup.one_of_each(docs.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage; others under the same id stay."""
+    """Documents without a benchmark passage; others under the same id, null or not, stay; null and empty texts stay."""
     hit = decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_hit"), F.col("text_md5").alias("_text")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("_hit")) & (F.unhex(F.md5("text")) == F.col("_text"))
     return docs.select(*COLUMNS).join(hit.hint("merge"), same, "left_anti")
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with every secret masked."""
+    """All documents, with every secret masked; null and empty texts as they are, repeated rows alike."""
     return secretscan.masked(docs.select(*COLUMNS))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, a row for each; a null or empty text has no tokens."""
     return pieces.encode(docs, vocabulary("piece_bpe_32k.model"), keep_ids=False)
 
 

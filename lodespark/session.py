@@ -15,8 +15,8 @@ ROOT = str(Path(__file__).resolve().parents[1])
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where neither the setting nor the context has one (tests on one
-    machine) is a temporary folder made and set.
+    Only in local mode, where neither the setting nor the context has one, is a
+    temporary folder made and set; a cluster must name its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -26,14 +26,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = "file://" + tempfile.mkdtemp(prefix="lodespark-")
     spark.sparkContext.setCheckpointDir(made)
     return made
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/lodespark/{name}-{uuid.uuid4().hex}"
+    """A fresh path below this application's part of the shared folder."""
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/lodespark/{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -48,9 +54,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Deletes every table that `written` left in the shared folder."""
+    """Deletes every table that `written` left in this application's part of the shared folder."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/lodespark")
+    path = jvm.org.apache.hadoop.fs.Path(_own(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -154,6 +154,29 @@ def test_ridge_and_solver(spark):
     assert np.allclose(stack.solve(np.array([[0.0, 2.0, 0], [4.0, 0, 0], [0, 0, 0]]), np.array([2.0, 8.0, 0])), [2, 1, 0])
 
 
+def test_pairs_without_a_prediction_fall_back_to_the_base(spark):
+    by_cf = spark.createDataFrame([(1, 1, 4.0, 3, 0.5)], "u int, b int, prediction double, k_used int, strength double")
+    by_boost = spark.createDataFrame([(1, 1, 3.0, 0.5, 3.5, 2.0, 3.0), (2, 1, 3.0, 0.5, 2.5, 0.0, 3.0), (3, 1, 3.0, 0.5, 9.0, 0.0, 3.0)], "u int, b int, prediction double, reliance double, base double, u_n double, b_n double")
+    w = np.array([0.25] + [0.0] * len(stack.META))
+    got = {r.u: r.prediction for r in stack.with_fallback(stack.meta_rows(by_cf, by_boost, "right"), w).collect()}
+    assert got == {1: 3.75, 2: 2.5, 3: 5.0} and stack.meta_rows(by_cf, by_boost).count() == 1
+
+
+def test_scratch_belongs_to_the_application(spark):
+    import os
+
+    from lodespark import session
+
+    path = session.scratch_path(spark, "x")
+    assert spark.sparkContext.applicationId in path
+    session.written(spark.range(3).toDF("v"), "x")
+    other = os.path.join(session.checkpoint_dir(spark).removeprefix("file://").removeprefix("file:"), "lodespark", "other-application")
+    os.makedirs(other, exist_ok=True)
+    own = os.path.dirname(path).removeprefix("file://").removeprefix("file:")
+    assert os.path.isdir(own) and os.path.isdir(other)
+    os.rmdir(other)
+
+
 def test_feature_aggregates(spark):
     ratings = spark.createDataFrame([(1, 1, 4.0), (1, 2, 2.0), (2, 1, 5.0)], "u int, b int, stars double")
     assert X.count_percentile(spark.createDataFrame([(i,) for i in range(15)], "n int"), "n", 0.9).first().value == 12
@@ -199,6 +222,25 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [r.value for r in writers.betweenness_lines(b).collect()] == ["('a', 'b'), 2.00000", "('u', 'v'), 0.50000"]
 
 
+def test_paths_and_streams(spark, tmp_path):
+    from lodespark.streaming import live
+
+    assert [readers.as_uri(x) for x in ("/a b", "file:///a", "hdfs://h/x")] == ["file:///a%20b", "file:///a", "hdfs://h/x"]
+    rows = [(i, f"2020-01-01 0{i % 5}:30:00", i % 7, "k") for i in range(40)]
+    df = spark.createDataFrame(rows, "event_id bigint, t string, user_id bigint, event_type string").selectExpr("event_id", "cast(t as timestamp_ntz) ts", "user_id", "event_type")
+    df.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    stream = live.event_stream(spark, str(tmp_path / "events.parquet"), "*.parquet")
+    assert sorted((r.start.hour, r.n) for r in live.live_windows(stream).collect()) == [(h, 8) for h in range(5)]
+    kept = live.drained(stream.groupBy("event_type").count(), "complete").collect()
+    assert [(r.event_type, r["count"]) for r in kept] == [("k", 40)]
+    assert live.drained(stream.select("event_id"), "append").count() == 40
+
+
+def test_minhash_coefficients():
+    params = S.minhash_params()
+    assert len(set(params)) == 60 and all(0 < a < S.MINHASH_PRIME and 0 <= b < S.MINHASH_PRIME for a, b in params) and params[:6] == S.minhash_params(6)
+
+
 def test_registered_models_have_production_parameters(spark, monkeypatch):
     from lodespark.plans import catalogue
 
