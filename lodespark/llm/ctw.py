@@ -120,6 +120,13 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return k[begin], (np.add.reduceat(n, begin) if len(k) else n)
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new]
+
+
 def block_pairs(data: np.ndarray, offsets: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The block's distinct keys and how often training texts have them."""
     flat, symbol, starts = padded(data, offsets)
@@ -129,7 +136,7 @@ def block_pairs(data: np.ndarray, offsets: np.ndarray, trained: np.ndarray) -> t
         learn = trained[np.searchsorted(edges, at, "right") - 1]
         k, n = np.unique(key[learn], return_counts=True)
         parts.append((k, n))
-        other = np.unique(key[~learn])
+        other = _distinct(key[~learn])
         parts.append((other, np.zeros(len(other), np.int64)))
         if len(parts) >= 8:
             parts = [_merged(parts)]
@@ -141,10 +148,10 @@ def block_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     flat, symbol, _ = padded(data, offsets)
     parts: list = []
     for _, key in windows_of_keys(flat, symbol):
-        parts.append(np.unique(key))
-        if len(parts) >= 4:
-            parts = [np.unique(np.concatenate(parts))]
-    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+        parts.append(_distinct(key))
+        if len(parts) >= 6:
+            parts = [_distinct(np.concatenate(parts))]
+    return _distinct(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
 
 def word_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +169,7 @@ def block_words(column: pa.Array, trained: np.ndarray) -> tuple[np.ndarray, np.n
         h, doc = word_keys(part.column(0))
         learn = trained[at + doc]
         parts.append(np.unique(h[learn], return_counts=True))
-        other = np.unique(h[~learn])
+        other = _distinct(h[~learn])
         parts.append((other, np.zeros(len(other), np.int64)))
         at += part.num_rows
         if len(parts) >= 8:
@@ -525,7 +532,7 @@ def _score_rows(folder: str, buckets: int):
             whole = np.uint16 if kind == PAIRS else np.uint32
             bucket = bucket_of(kind, keys, buckets)
             values = np.empty(len(keys), whole)
-            values[np.argsort(bucket, kind="stable")] = np.concatenate([_unpack(answers[kind, b], whole) for b in np.unique(bucket).tolist()])
+            values[np.argsort(bucket, kind="stable")] = np.concatenate([_unpack(answers[kind, b], whole) for b in np.flatnonzero(np.bincount(bucket)).tolist()])
             return values
 
         keys = block_keys(data, offsets)
