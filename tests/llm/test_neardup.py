@@ -110,3 +110,28 @@ def test_draws_meet_as_often_as_texts_are_similar():
     x = N.draws(s[a], w[a], np.zeros(len(a), np.int64), n)[:, 0]
     y = N.draws(s[b], wb[b], np.zeros(len(b), np.int64), n)[:, 0]
     assert abs((x == y).mean() - J) < 4 * (J * (1 - J) / n) ** 0.5
+
+
+def test_recall_by_band_of_similarity():
+    """Of pairs in each band of weighted similarity at the threshold and above, at least so many meet in a bucket."""
+    rng = random.Random(12)
+    voc = ["".join(rng.choices("abcdefghilmnoprstu", k=rng.randint(2, 9))) for _ in range(3000)]
+    left, right = [], []
+    for _ in range(1500):
+        words = rng.choices(voc, k=rng.randint(60, 220))
+        other = list(words)
+        for _ in range(rng.randint(0, max(1, len(words) // 45))):
+            other[rng.randrange(len(other))] = rng.choice(voc)
+        left.append(" ".join(words))
+        right.append(" ".join(other))
+    idf = np.random.default_rng(3).uniform(1, 8, N.BUCKETS)
+    sides = [N.weighted_shingles(pa.array(t), idf) for t in (left, right)]
+    (s1, w1, d1), (s2, w2, d2) = sides
+    draws = [N.draws(s, w, d, N.BANDS * N.ROWS) for s, w, d in sides]
+    met = (draws[0] == draws[1]).reshape(N.BANDS, N.ROWS, -1).all(1).any(0)
+    near = np.array([N.similarity(s1[d1 == i].tobytes(), w1[d1 == i].tobytes(), s2[d2 == i].tobytes(), w2[d2 == i].tobytes()) for i in range(len(left))])
+    for low, high, least in ((0.8, 0.85, 0.97), (0.85, 0.9, 0.99), (0.9, 1.01, 0.999)):
+        inside = (near >= low) & (near < high)
+        assert inside.sum() > 60 and met[inside].mean() >= least
+    # one draw agrees as often as the texts are similar
+    assert abs((draws[0] == draws[1]).mean(0) - near).mean() < 0.08 and abs((draws[0] == draws[1]).mean() - near.mean()) < 0.01
