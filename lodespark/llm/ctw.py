@@ -49,8 +49,8 @@ from lodespark.session import scratch_path, written
 DEPTH, OUTER = 7, 3
 EDGE = 0xFF  # stands in no UTF-8 text: before the start and at the end
 END_WORD = 0x656E64
-BLOCK, WINDOW = 16 << 20, 1 << 20
-BUCKET_BYTES, MOST_BUCKETS = 12 << 20, 8192
+BLOCK, WINDOW = 10 << 20, 1 << 20
+BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 8192
 #: Steps of an answer: 1/1024 in log10.
 SCALE = 1024
 PAIRS, WORDS = 0, 1
@@ -467,14 +467,14 @@ def _in_buckets(answer):
 
     def close(kind, held):
         parts: list = []
-        size = 0
+        size = base = 0
         for _, keys, counts in held:
             k = unpack_keys(keys)
             parts.append((k, _unpack(counts, np.uint32).astype(np.int64)))
             size += len(k)
-            if size > 1 << 22:
+            if size > max(1 << 20, 2 * base):  # merging costs no more than what came in
                 parts = [_merged(parts)]
-                size = len(parts[0][0])
+                size = base = len(parts[0][0])
         keys, counts = _merged(parts)
         values = answer(kind, keys, counts)
         for lo in range(0, len(held), 64):
