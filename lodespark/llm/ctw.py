@@ -49,7 +49,7 @@ from lodespark.session import scratch_path, written
 DEPTH, OUTER = 7, 3
 EDGE = 0xFF  # stands in no UTF-8 text: before the start and at the end
 END_WORD = 0x656E64
-BLOCK, WINDOW = 10 << 20, 1 << 20
+BLOCK, WINDOW = 10 << 20, 512 << 10
 BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 8192
 #: Steps of an answer: 1/1024 in log10.
 SCALE = 1024
@@ -165,7 +165,7 @@ def block_words(column: pa.Array, trained: np.ndarray) -> tuple[np.ndarray, np.n
     parts: list = []
     batch = pa.RecordBatch.from_arrays([column], ["text"])
     at = 0
-    for part in grams.slices(batch, 0):
+    for part in grams.slices(batch, 0, WINDOW):
         h, doc = word_keys(part.column(0))
         learn = trained[at + doc]
         parts.append(np.unique(h[learn], return_counts=True))
@@ -546,7 +546,7 @@ def _score_rows(folder: str, buckets: int):
         values = answered(WORDS, keys)
         tokens, known, logs = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
         first = 0
-        for part in grams.slices(pa.RecordBatch.from_arrays([text], ["text"]), 0):
+        for part in grams.slices(pa.RecordBatch.from_arrays([text], ["text"]), 0, WINDOW):
             h, doc = word_keys(part.column(0))
             c, doc = values[np.searchsorted(keys, h)], doc + first
             tokens += np.bincount(doc, minlength=n)
