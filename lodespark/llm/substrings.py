@@ -1,20 +1,23 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
 The gear hash at a byte sums a table value of each of the last 16 bytes, shifted
-by its distance. A chunk begins where that hash is lower than at the REACH bytes
-before and no higher than at the REACH bytes after, so cuts depend on 16 + 2 *
-REACH bytes around them and on nothing else: an insertion moves the cuts near it
-and no others, and equal passages are cut alike wherever they stand. Chunks are
-REACH + 1 bytes or more, 25 on average, and begin at a character.
+by its distance. A chunk begins at the lowest hash, the leftmost of equals, of any
+WINDOW bytes in a row. Whatever stands in both of two texts over SURE bytes has two
+such windows apart from each other whose hashes are the same in both, so two cuts at
+least, all cuts between them, and a whole chunk are the same: none is missed, and
+over fifty words are SURE bytes or more. Chunks are 22 bytes on average and begin at
+a character. A chunk's digest takes in the LEAD bytes before it, so that a short
+chunk isn't repeated by chance.
 
 Chunks are compared by a 64-bit digest over the whole corpus. A chunk is repeated
 when it also stands in an earlier document (the least id, then the hash of the
 text). Neighbouring repeated chunks make a run. From its first and its last chunk
 a run is extended byte by byte as far as the earlier documents with these chunks
-agree, and it is reported when it then has over `most_words` whole words. An
-extension ends within a chunk and EDGE bytes, or the next chunk would be repeated
-too; runs that can't have enough words even so are left out before any text is
-looked at, which loses nothing.
+agree, and it is reported when it then has over `most_words` whole words. The first
+shared chunk begins within BEFORE bytes of a passage's start and the last one ends
+within AFTER bytes of its end; runs that can't have enough words even so are left out
+before any text is looked at, which loses nothing. Passages under SURE bytes, which
+only a lower `most_words` asks for, are found where they share a chunk.
 
 A task first settles the chunks of its own block of documents: of each digest only
 the block's earliest document goes on to the shuffle, the others are repeated
@@ -41,12 +44,16 @@ from pyspark.sql import functions as F
 from lodespark.llm import grams
 from lodespark.session import written
 
-REACH, EDGE = 12, 32
+REACH = 12
+LEAD, WINDOW = 15, 43
+SURE = LEAD + 2 * WINDOW
+#: A cut stands up to LEAD + WINDOW - 1 bytes after a passage's start, and up to three more, on the next character.
+BEFORE, AFTER = 64, 48
 MOST_WORDS = 50
 #: Chunks of a block, some 30 MB of text.
 BLOCK = 1 << 20
 GEAR = (grams.LETTER >> np.uint64(32)).astype(np.uint32)
-_PAD = 40
+_PAD = 64
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -60,7 +67,7 @@ def gear(data: np.ndarray) -> np.ndarray:
 
 
 def _least_of(h: np.ndarray, n: int) -> np.ndarray:
-    """The least of each n values from a place on; n below 16."""
+    """The least of each n values from a place on."""
     out, have = h, 1
     while have < n:
         step = min(have, n - have)
@@ -71,15 +78,29 @@ def _least_of(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def cuts(data: np.ndarray) -> np.ndarray:
-    """Places in one array of bytes where a chunk begins, but for its own start."""
+    """Places whose hash is below those of the REACH bytes before and not above those of the REACH bytes after. They can be any distance apart."""
     h = gear(data)
     least = _least_of(h, REACH)
     at = np.arange(REACH, max(REACH, len(h) - REACH))
     return at[(h[at] < least[at - REACH]) & (h[at] <= least[at + 1])]
 
 
-def chunks(column: pa.Array) -> tuple[np.ndarray, ...]:
-    """(document, number in the document, digest, start, end in code points, bytes, first byte in the column) of every chunk."""
+def sure_cuts(data: np.ndarray) -> np.ndarray:
+    """Places whose hash is the lowest of some WINDOW in a row, the leftmost of equals; WINDOW or less apart."""
+    h, step, found = gear(data), 1 << 20, []
+    for lo in range(0, max(1, len(h) - WINDOW + 1), step):
+        some = h[lo : lo + step + WINDOW - 1].astype(np.uint64) << np.uint64(32)
+        some |= np.arange(lo, lo + len(some), dtype=np.uint64)
+        at = (_least_of(some, WINDOW)[: max(1, len(some) - WINDOW + 1)] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        found.append(at[np.concatenate([[True], at[1:] != at[:-1]])])
+    return np.unique(np.concatenate(found))
+
+
+def chunks(column: pa.Array, rule=cuts, lead: int = 0) -> tuple[np.ndarray, ...]:
+    """(document, number in the document, digest, start, end in code points, bytes, first byte in the column) of every chunk.
+
+    Digests take in up to `lead` bytes of the text before the chunk.
+    """
     data, offsets = grams.flat(column)
     sizes = np.diff(offsets)
     full = np.flatnonzero(sizes)
@@ -90,7 +111,7 @@ def chunks(column: pa.Array) -> tuple[np.ndarray, ...]:
     for k, d in enumerate(full.tolist()):
         a, b = int(offsets[d]), int(offsets[d + 1])
         spaced[a + shift[k] : b + shift[k]] = data[a:b]
-    found = cuts(spaced)
+    found = rule(spaced)
     which = np.searchsorted(offsets[full] + shift, found, "right") - 1
     inside = which >= 0
     found, which = found[inside], which[inside]
@@ -103,7 +124,7 @@ def chunks(column: pa.Array) -> tuple[np.ndarray, ...]:
     begin = np.unique(np.concatenate([offsets[full], moved[moved < len(data)]]))
     end = np.append(begin[1:], len(data))
     doc = np.searchsorted(offsets, begin, "right") - 1
-    digest = grams.hashes(data, begin, end)
+    digest = grams.hashes(data, np.maximum(begin - lead, offsets[doc]), end)
     points = np.concatenate([[0], np.cumsum(heads)])
     base = points[offsets[doc]]
     first = np.searchsorted(doc, doc)
@@ -120,14 +141,14 @@ def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(begin)])
 
 
-def _around(begin: np.ndarray, doc: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every chunk: where the chunk before it begins less EDGE bytes, and where the chunk after it ends and EDGE bytes."""
-    last = offsets[doc + 1]
-    n = len(begin)
-    before = np.concatenate([[0], begin[:-1]])
-    after = np.concatenate([begin[2:], [0] * min(n, 2)])
-    close = np.concatenate([doc[2:] == doc[:-2], [False] * min(n, 2)]) if n >= 2 else np.zeros(n, bool)
-    return np.maximum(before - EDGE, offsets[doc]), np.minimum(np.where(close, after, last) + EDGE, last)
+def shared_chunks(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """The chunks that documents are compared by."""
+    return chunks(column, sure_cuts, LEAD)
+
+
+def _around(begin: np.ndarray, size: np.ndarray, doc: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every chunk: BEFORE bytes before it and AFTER bytes after it, within its document."""
+    return np.maximum(begin - BEFORE, offsets[doc]), np.minimum(begin + size + AFTER, offsets[doc + 1])
 
 
 def _first_in_block(part: pa.RecordBatch, doc: np.ndarray, digest: np.ndarray) -> np.ndarray:
@@ -150,10 +171,10 @@ def _chunk_rows(batches):
         doc, number, digest, words = [], [], [], []
         at = 0
         for piece in grams.slices(part, 2):
-            d, n, h, _, _, _, begin = chunks(piece.column(2))
+            d, n, h, _, _, size, begin = shared_chunks(piece.column(2))
             data, offsets = grams.flat(piece.column(2))
             starts = word_starts(data, offsets)
-            lo, hi = _around(begin, d, offsets)
+            lo, hi = _around(begin, size, d, offsets)
             base = starts[offsets[d]]
             words.append(((starts[lo] - base) << 32) | (starts[hi] - base))
             doc.append(d + at)
@@ -187,9 +208,9 @@ def _context_rows(batches):
         for i in range(batch.num_rows):
             text = batch.column(2).slice(i, 1)
             data, offsets = grams.flat(text)
-            doc, _, _, start, end, size, begin = chunks(text)
+            doc, _, _, start, end, size, begin = shared_chunks(text)
             starts = word_starts(data, offsets)
-            lo, hi = _around(begin, doc, offsets)
+            lo, hi = _around(begin, size, doc, offsets)
             for want in batch.column(3)[i].as_py():
                 k = want["number"]
                 if want["left"]:
@@ -277,14 +298,14 @@ def repeated_runs(docs: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.hash("text").alias("t"), "text").where("text != ''")
-    runs = written(_runs(_repeated_chunks(texts, kind), most_words), "runs")
+    runs = written(_runs(_repeated_chunks(texts, kind), most_words), "runs", release=True)
     ends = [("doc_id", "t", "first", True), ("doc_id", "t", "last", False), ("a.ref_id", "a.ref_t", "a.ref_number", True), ("b.ref_id", "b.ref_t", "b.ref_number", False)]
     ends = [[F.col(i).alias("doc_id"), F.col(t).alias("t"), F.col(n).alias("number"), F.lit(side).alias("left")] for i, t, n, side in ends]
     wanted = runs.select(F.explode(F.array(*[F.struct(*e) for e in ends])).alias("e")).select("e.*").distinct()
     wanted = wanted.groupBy("doc_id", "t").agg(F.collect_list(F.struct("number", "left")).alias("wanted")).withColumnsRenamed({"doc_id": "_id", "t": "_t"})
     laid = texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))).select("doc_id", "t", "text", "wanted")
     schema = f"doc_id {kind}, t int, number int, left boolean, bytes binary, point bigint, starts bigint, edge boolean"
-    around = written(laid.dropDuplicates(["doc_id", "t"]).mapInArrow(_context_rows, schema), "around")
+    around = written(laid.dropDuplicates(["doc_id", "t"]).mapInArrow(_context_rows, schema), "around", release=True)
 
     def with_end(df: DataFrame, name: str, doc: str, t: str, number: str, left: bool) -> DataFrame:
         end = around.where(F.col("left") == left).select(F.struct("doc_id", "t", "number").alias("_k"), F.struct("bytes", "point", "starts", "edge").alias(name))

@@ -97,6 +97,61 @@ def test_short_words_wide_characters_and_thresholds(spark):
     assert got <= want
 
 
+def test_every_passage_of_fifty_one_words_shares_a_chunk():
+    """The shortest passages there are, with ASCII, wide and repeating characters, in other surroundings: lowest hashes near one another only are missed by `cuts`."""
+    draw = random.Random(11)
+    missed = 0
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ab", "aé日", "👍x"):
+        for _ in range(1200):
+            p = " ".join(draw.choice(letters) for _ in range(51))
+            a, b = ("".join(draw.choice(letters + " ") for _ in range(draw.randint(0, 90))) for _ in range(2))
+            texts, at = pa.array([a + p + a[::-1], b + p + "\t" + b]), [len(a.encode()), len((a + p + a[::-1] + b).encode())]
+            for rule in (S.chunks, S.shared_chunks):
+                doc, _, digest, _, _, size, begin = rule(texts)
+                n = len(p.encode())
+                inside = [(doc == i) & (begin >= at[i]) & (begin + size <= at[i] + n) for i in (0, 1)]
+                both = np.intersect1d(digest[inside[0]], digest[inside[1]])
+                if rule is S.chunks:
+                    missed += not len(both)
+                else:
+                    assert len(both), (a, p, b)
+                    near = [begin[inside[i] & np.isin(digest, both)] - at[i] for i in (0, 1)]
+                    ends = [(begin + size)[inside[i] & np.isin(digest, both)] - at[i] for i in (0, 1)]
+                    assert max(x.min() for x in near) <= S.BEFORE and min(x.max() for x in ends) >= n - S.AFTER
+    assert missed > 0 and S.SURE == 101 == 2 * S.MOST_WORDS + 1
+
+
+def brute_sure_cuts(text):
+    data = bytes(64) + text.encode() + bytes(64)
+    h = [sum(int(S.GEAR[data[i - j]]) << j for j in range(16) if i >= j) & 0xFFFFFFFF for i in range(len(data))]
+    at = {min(range(s, s + S.WINDOW), key=lambda i: (h[i], i)) for s in range(len(data) - S.WINDOW + 1)}
+    return sorted(p - 64 for p in at if 64 < p < len(data) - 64)
+
+
+def test_sure_cuts_follow_the_definition_wherever_a_text_stands():
+    draw = random.Random(12)
+    texts = ["".join(draw.choice("abcdefg hij") for _ in range(n)) for n in (1, 5, 43, 70, 300)] + ["x" * 200]
+    _, _, _, start, _, _, _ = got = S.shared_chunks(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert start[got[0] == i].tolist() == [0, *brute_sure_cuts(t)]
+    long = np.frombuffer("".join(draw.choice("abcdefg hij") for _ in range((2 << 20) + 500)).encode(), np.uint8)
+    whole = S.sure_cuts(long)
+    for lo in (0, (1 << 20) - 300, (2 << 20) - 100):  # over the seams
+        part = S.sure_cuts(long[max(0, lo - 100) : lo + 700]) + max(0, lo - 100)
+        assert np.array_equal(part[(part > lo + 60) & (part < lo + 400)], whole[(whole > lo + 60) & (whole < lo + 400)])
+
+
+def test_repeats_of_fifty_one_short_words_are_all_reported(spark):
+    """Each is 101 bytes long."""
+    draw = random.Random(13)
+    passages = [" ".join(draw.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(51)) for _ in range(300)]
+    tail = lambda: "".join(draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(draw.randint(1, 60)))
+    rows = [(i, tail() + "\t" + p + "\t" + tail()) for i, p in enumerate(passages)] + [(1000 + i, tail() + "\n" + p + "\n" + tail()) for i, p in enumerate(passages)]
+    got = S.repeated_runs(spark.createDataFrame(rows, "doc_id int, text string").repartition(3)).collect()
+    texts = dict(rows)
+    assert sorted((r.doc_id, r.first_doc_id, texts[r.doc_id][r.start : r.end]) for r in got) == [(1000 + i, i, p) for i, p in enumerate(passages)]
+
+
 def test_a_frequent_passage_and_a_very_long_text(spark):
     """One passage in a third of all documents, another thousands of times in one text, over several blocks."""
     line, own = prose(80), prose(60)
