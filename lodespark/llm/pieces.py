@@ -253,19 +253,20 @@ class MergeModel:
                 out.append(_lenient(bytes(run)))
                 run.clear()
             if self.kind[i] == NORMAL:
-                out.append(self.text[i])
+                out.append(self.shown[i])
             elif self.kind[i] == UNKNOWN:
                 out.append(" ⁇ ")
         if run:
             out.append(_lenient(bytes(run)))
-        return "".join(out).replace(SPACE, " ")
+        return "".join(out)
 
     def encode(self, text: str) -> list[int]:
         return [i for ids in self.side_by_side(self.units(text)) for i in ids]
 
     def decode(self, ids: list[int]) -> str:
-        text = self.decode_unit(ids)
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        """All ids to text; only a space mark at the head of the first piece was added by encoding, a space from a byte or unknown piece was not."""
+        text, first = self.decode_unit(ids), next((i for i in ids if self.kind[i] != CONTROL), self.unknown)
+        return text[1:] if self.prefix and self.kind[first] == NORMAL and text.startswith(" ") else text
 
 
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")

@@ -39,6 +39,15 @@ def test_whole_texts_equal_the_library(judge):
         assert m.decode(ids) == judge.decode(ids)
 
 
+def test_spaces_that_encoding_did_not_add_are_kept(judge):
+    """Ids that begin with a byte, unknown or control piece, and bytes that spell a space mark."""
+    m = pieces.merge_model(PATH)
+    mark, word, unknown = m.ids["▁"], judge.encode("the cat"), m.unknown
+    space, spelled, control = m.bytes[32], [m.bytes[b] for b in "▁".encode()], [i for i, k in enumerate(m.kind) if k == pieces.CONTROL]
+    for ids in ([space, *word], [space], [unknown, *word], [mark, mark, *word], [mark], [mark, space, *word], spelled, [*spelled, *word], [*word, *spelled], [*control, *word], [*control, mark], [*control, space, mark], control, []):
+        assert m.decode(ids) == judge.decode(ids), ids
+
+
 def test_query_over_odd_rows(spark, judge):
     rows = [(i if i % 7 else None, t, i, "x", [1]) for i, t in enumerate(TEXTS)] + [(3, None, 0, "x", None), (3, TEXTS[6], 0, "x", None), (3, TEXTS[6], 0, "x", None)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, n_tokens int, ids_sha256 string, ids array<int>").repartition(3)
