@@ -127,20 +127,76 @@ def _distinct(x: np.ndarray) -> np.ndarray:
     return x[new]
 
 
+def _counted(k: np.ndarray, counted: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and how often they are there, or 0; sorts k in its place."""
+    k.sort()
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    if not counted:
+        k = k[new]
+        return k, np.zeros(len(k), np.uint32)
+    begin = np.flatnonzero(new)
+    return k[begin], np.diff(begin, append=len(k)).astype(np.uint32)
+
+
+def _by_last_byte(data: np.ndarray, symbol: np.ndarray) -> Iterator[Iterator[np.ndarray]]:
+    """Places of symbols, two WINDOWs or a few more at a time, by ranges of the byte before them, which is on top of their keys.
+
+    A range has two WINDOWs of places if no byte has more by itself.
+    """
+    before = data[:-1][symbol[1:]] if len(data) else data  # the first byte is an edge, never a symbol
+    group = (np.cumsum(np.bincount(before, minlength=256)) - 1) // (2 * WINDOW)
+    del before
+    byte = 0
+    while byte < 256:
+        after = int(np.searchsorted(group, group[byte], "right")) if group[byte] >= 0 else byte + 1
+        inside = np.zeros(256, bool)
+        inside[byte:after] = True
+
+        def places(inside=inside):
+            held, size = [], 0
+            for lo in range(1, len(data), WINDOW):
+                hi = min(lo + WINDOW, len(data))
+                at = lo + np.flatnonzero(symbol[lo:hi] & inside[data[lo - 1 : hi - 1]])
+                held.append(at)
+                size += len(at)
+                if size >= 2 * WINDOW or hi == len(data):
+                    yield np.concatenate(held)
+                    held, size = [], 0
+
+        yield places()
+        byte = after
+
+
+def keys_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The keys of symbols at these places."""
+    key = data[at].astype(np.uint64)
+    for j in range(1, DEPTH + 1):
+        more = data[at - j].astype(np.uint64)
+        more <<= np.uint64(64 - 8 * j)
+        key |= more
+    return key
+
+
 def block_pairs(data: np.ndarray, offsets: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The block's distinct keys and how often training texts have them."""
-    flat, symbol, starts = padded(data, offsets)
-    edges = np.append(starts, len(flat) + 1)
-    parts: list = []
-    for at, key in windows_of_keys(flat, symbol):
-        learn = trained[np.searchsorted(edges, at, "right") - 1]
-        k, n = np.unique(key[learn], return_counts=True)
-        parts.append((k, n))
-        other = _distinct(key[~learn])
-        parts.append((other, np.zeros(len(other), np.int64)))
-        if len(parts) >= 8:
-            parts = [_merged(parts)]
-    return _merged(parts) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
+    """The block's distinct keys and how often training texts have them, worked out for a range of last bytes at a time."""
+    flat, symbol, _ = padded(data, offsets)
+    learned = np.repeat(trained, np.diff(offsets) + DEPTH + 1)
+    found: list = []
+    for places in _by_last_byte(flat, symbol):
+        parts: list = []
+        for at in places:
+            learn = learned[at]
+            for some, counted in ((at[learn], True), (at[~learn], False)):
+                if len(some):
+                    parts.append(_counted(keys_at(flat, some), counted))
+            if len(parts) >= 4:
+                parts = [_merged(parts)]
+        if parts:
+            found.append(_merged(parts))
+    if not found:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate([k for k, _ in found]), np.concatenate([n.astype(np.int64) for _, n in found])
 
 
 def block_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -178,8 +234,14 @@ def block_words(column: pa.Array, trained: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def bucket_of(kind: int, keys: np.ndarray, buckets: int) -> np.ndarray:
-    whole = keys >> np.uint64(64 - 8 * OUTER) if kind == PAIRS else keys.copy()
-    return (grams.mix(whole + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+    """Buckets of keys in order; those of pairs are worked out once for each context of three bytes."""
+    if kind == WORDS:
+        return (grams.mix(keys + np.uint64(1)) % np.uint64(buckets)).astype(np.uint16)
+    whole = keys >> np.uint64(64 - 8 * OUTER)
+    new = np.ones(len(keys), bool)
+    new[1:] = whole[1:] != whole[:-1]
+    begin = np.flatnonzero(new)
+    return np.repeat((grams.mix(whole[begin] + np.uint64(1)) % np.uint64(buckets)).astype(np.uint16), np.diff(begin, append=len(keys)))
 
 
 # --- trees -----------------------------------------------------------------------
@@ -374,7 +436,7 @@ def _block_rows(folder: str, buckets: int):
         for kind, (keys, counts) in ((PAIRS, block_pairs(*grams.flat(text), trained)), (WORDS, block_words(text, trained))):
             bucket = bucket_of(kind, keys, buckets)
             order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            cut = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
             there = np.flatnonzero(np.diff(cut))
             for lo in range(0, len(there), 256):
                 some = there[lo : lo + 256].tolist()
@@ -587,7 +649,7 @@ def score(docs: DataFrame, fold: int = 5, held: int = 1) -> DataFrame:
     outer = spark.sparkContext.broadcast(outer_tree(blocks))
     dealt = lambda kind: blocks.where(F.col("kind") == kind).repartition("bucket").sortWithinPartitions("bucket")
     columns = "kind int, bucket int, block string, answer binary"
-    words = written(dealt(WORDS).mapInArrow(_word_answers, columns), "words")
+    words = written(dealt(WORDS).mapInArrow(_word_answers, columns), "words", release=True)
     sums = [np.frombuffer(r.answer, np.int64) for r in words.where("block IS NULL").select("answer").collect()]  # a row a task
     tokens, distinct = (int(x) for x in np.sum(sums, 0)) if sums else (0, 0)
     answers = dealt(PAIRS).mapInArrow(_pair_answers(outer), columns).unionByName(words.where("block IS NOT NULL"))

@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -139,3 +140,43 @@ def test_empty_table_and_string_ids(spark):
     assert ctw.score(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
     r = ctw.score(spark.createDataFrame([("a", "x" * 70_000, 1), ("b", "\x00\x01 x", 1)], "doc_id string, text string, logs int").repartition(2)).collect()
     assert sorted(x.doc_id for x in r) == ["a", "b"] and all(x.score < 0 for x in r)
+
+
+def plain_pairs(data, offsets, trained):
+    flat, symbol, starts = ctw.padded(data, offsets)
+    key, whose = (np.concatenate(x) for x in zip(*[(k, np.searchsorted(starts, at, "right") - 1) for at, k in ctw.windows_of_keys(flat, symbol)], strict=True))
+    keys = np.unique(key)
+    return keys, np.bincount(np.searchsorted(keys, key[trained[whose]]), minlength=len(keys))
+
+
+@pytest.mark.parametrize("window", [5, 300, ctw.WINDOW])
+def test_pairs_by_ranges_of_bytes_equal_those_of_the_whole_block(monkeypatch, window):
+    """Texts with every byte of UTF-8, of one byte only, shorter than a context, and none at all."""
+    monkeypatch.setattr(ctw, "WINDOW", window)
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(1, 0x2000, 400))), "x" * 900, "", "a", None, "".join(map(chr, rng.integers(97, 105, 900)))]
+    for some in (texts, ["", None], ["x" * 50] * 4, texts[::-1]):
+        data, offsets = ctw.grams.flat(pa.array(some, pa.string()))
+        for trained in (rng.random(len(some)) < 0.5, np.ones(len(some), bool), np.zeros(len(some), bool)):
+            keys, counts = ctw.block_pairs(data, offsets, trained)
+            want, n = plain_pairs(data, offsets, trained)
+            assert np.array_equal(keys, want) and np.array_equal(counts, n)
+            assert np.array_equal(ctw.bucket_of(ctw.PAIRS, keys, 37), [int(ctw.grams.mix(np.array([(k >> 40) + 1], np.uint64))[0] % np.uint64(37)) for k in keys.tolist()])
+
+
+def test_a_block_of_distinct_contexts_takes_little_memory():
+    """A block's pairs and their buckets, for bytes that never repeat a context, in bytes of arrays for each byte of text: 70 and 40 before."""
+    data = np.random.default_rng(6).integers(32, 127, 4 << 20).astype(np.uint8)
+    offsets = np.arange(0, len(data) + 1, 4096)
+    trained = np.arange(len(offsets) - 1) % 5 != 1
+    tracemalloc.start()
+    try:
+        keys, _ = ctw.block_pairs(data, offsets, trained)
+        pairs = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        ctw.bucket_of(ctw.PAIRS, keys, 200)
+        buckets = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(keys) > 0.99 * len(data)
+    assert pairs < 52 * len(data) and buckets < 34 * len(data), (pairs / len(data), buckets / len(data))
