@@ -25,6 +25,7 @@ rows; extra columns are left out.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -185,11 +186,46 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words, self.parts = Generations(1), Generations(1, 48 << 20)
+        self.ends = self._ends(path)
+
+    def _ends(self, path: str) -> np.ndarray | None:
+        """Which ids end a part; None if the vocabulary doesn't say.
+
+        It does if every byte has a symbol with the suffix of a part's end, and
+        merges make a symbol with that suffix from one that has it and from no other.
+        """
+        with open(path, "rb") as f:
+            model = json.load(f)["model"]
+        suffix, vocabulary = model.get("end_of_word_suffix"), model["vocab"]
+        if not suffix or model.get("unk_token") or model.get("dropout") or sum(len(t) == 1 and t + suffix in vocabulary for t in vocabulary) < 256:
+            return None
+        for pair in model["merges"]:
+            left, right = pair.split(" ") if isinstance(pair, str) else pair
+            if left.endswith(suffix) or (left + right).endswith(suffix) != right.endswith(suffix):
+                return None
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        return ends
 
     def _library(self, strings: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
         return [struct.pack(f"<{len(i)}I", *i) for i in (e.ids for e in found)]
 
+    def _side_by_side(self, parts: list[str]) -> list[bytes]:
+        """Parts of settled words, which the splitter leaves whole: many in one string, taken apart where an id ends a part."""
+        out: list[bytes] = []
+        for lo in range(0, len(parts), 4096):
+            some = parts[lo : lo + 4096]
+            if self.ends is not None:
+                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+                last = np.flatnonzero(self.ends[ids])
+                if len(last) == len(some) and last[-1] == len(ids) - 1:
+                    data, cut = ids.tobytes(), (4 * last + 4).tolist()
+                    out += [data[a:b] for a, b in zip([0, *cut], cut, strict=False)]
+                    continue
+            out += self._library(some)
+        return out
+
     def _cut(self, words: list[str]) -> list[bytes]:
         """Settled words by their parts: one search over all of them, in which a line is a word."""
         parts = PARTS.findall("\n".join(words).lower())
@@ -197,7 +233,7 @@ class Words:
         if "\n" in new:
             new.remove("\n")
             self.parts.add(["\n"], [_END_OF_WORD])
-        self.parts.add(new, self._library(new))
+        self.parts.add(new, self._side_by_side(new))
         ids = b"".join(map(self.parts.recent[0].__getitem__, parts))
         ends = (4 * np.flatnonzero(np.frombuffer(ids, "<u4") == 0xFFFFFFFF)).tolist()
         return [ids[a:b] for a, b in zip([0, *[e + 4 for e in ends]], [*ends, len(ids)], strict=True)]

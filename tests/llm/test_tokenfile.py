@@ -1,4 +1,6 @@
 import io
+import json
+import random
 import zlib
 
 import numpy as np
@@ -66,3 +68,42 @@ def test_query_over_odd_rows(spark):
     assert ids == sorted(ids, key=lambda x: (x is not None, x or 0))
     assert sorted(tuple(r["ids"]) for r in got) == sorted(tuple(whole(t)) for t in TEXTS)
     assert tokenfile.write_and_read(df.limit(0), PATH, 2).collect() == []
+
+
+def test_new_parts_reach_the_library_in_few_strings():
+    """Thousands of new words are a string or two; ids are the library's for each part, also where ends can't be told from the vocabulary."""
+    words = tokenfile.Words(PATH)
+    library, sent = words.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, strings, add_special_tokens):
+            sent.extend(strings)
+            return library.encode_batch_fast(strings, add_special_tokens=add_special_tokens)
+
+    draw = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyzéßñœſ'ıŉ"
+    made = {"".join(draw.choices(letters, k=draw.randint(1, 12))) + draw.choice(["", "", ",", "!'", "''s", "42", "¼!", "İ", "'S", "\xad"]) for _ in range(6000)}
+    assert not any(tokenfile.UNSETTLED.fullmatch(w) for w in made)
+    want = {w: library.encode(w, add_special_tokens=False).ids for w in made}
+    words.tokenizer = Counting()
+    text = " ".join(made)
+    assert np.frombuffer(words.encode([text], None)[0], "<u4").tolist() == [i for w in text.split(" ") for i in want[w]]
+    assert len(sent) <= 3
+    parts = sorted(set(tokenfile.PARTS.findall(text.lower())) - {"\n"})
+    each = words._library(parts)
+    assert words._side_by_side(parts) == each and words._side_by_side([]) == []
+    words.ends = None
+    assert words._side_by_side(parts) == each
+    words.ends = np.ones(60_000, bool)  # ends that don't fit
+    assert words._side_by_side(parts) == each
+
+
+@pytest.mark.parametrize("change", [{"end_of_word_suffix": None}, {"unk_token": "a"}, {"dropout": 0.1}, {"merges": [["a</w>", "b"]]}, {"merges": ["</ w>"]}, {"vocab": {"a": 0, "a</w>": 1}}])
+def test_ends_of_parts_need_a_vocabulary_that_marks_them(tmp_path, change):
+    words = tokenfile.Words(PATH)
+    assert words.ends is not None
+    with open(PATH, "rb") as f:
+        model = json.load(f)["model"]
+    path = tmp_path / "vocabulary.json"
+    path.write_text(json.dumps({"model": model | change}))
+    assert words._ends(str(path)) is None
