@@ -70,20 +70,25 @@ def son_candidates(pairs: DataFrame, key: str, item: str, part: str, support: fl
 
     Sizes 1 and 2 come as columns item (and item2), larger ones as items, in order.
     """
-    long = pairs.select(F.col(part).alias("part"), F.col(key).alias("key"), F.col(item).alias("item")).distinct()
-    held = long.select("part", "key").distinct().groupBy("part").agg(F.count("*").alias("p"))
-    total = held.agg(F.sum("p").alias("d"))
-    need = F.broadcast(held.join(F.broadcast(total)).select("part", F.greatest(F.lit(1), F.ceil(F.lit(float(support)) * F.col("p") / F.col("d"))).alias("need")))
-    enough = lambda matches: matches.groupBy("part", "items").agg(F.count("*").alias("n")).join(need, "part").where("n >= need").select("part", "items")
-    matches = long.select("part", "key", F.array("item").alias("items"))
-    level = enough(matches)
-    alone = level.select("part", F.element_at("items", 1).alias("item"))
-    later = long.join(alone, ["part", "item"], "left_semi").select(F.col("part").alias("q"), F.col("key").alias("k2"), F.col("item").alias("next"))
-    for _ in range(size - 1):
-        kept = matches.join(level, ["part", "items"], "left_semi")
-        grown = kept.join(later, (F.col("part") == F.col("q")) & (F.col("key") == F.col("k2")) & (F.element_at("items", -1) < F.col("next")))
-        matches = written(grown.select("part", "key", F.concat("items", F.array("next")).alias("items")), "matches")
-        level = enough(matches)
+    sorted_items = F.sort_array(F.collect_set("item"))
+    long = pairs.select(F.col(part).alias("part"), F.col(key).alias("key"), F.col(item).alias("item"))
+    held = written(long.groupBy("part", "key").agg(sorted_items.alias("rest"), F.max(F.col("item").isNull()).alias("none")), "baskets")
+    sizes = held.groupBy("part").agg(F.count("*").alias("p"))
+    total = sizes.agg(F.sum("p").alias("d"))
+    need = F.broadcast(sizes.join(F.broadcast(total)).select("part", F.greatest(F.lit(1), F.ceil(F.lit(float(support)) * F.col("p") / F.col("d"))).alias("need")))
+    enough = lambda matches: written(matches.groupBy("part", "items").agg(F.count("*").alias("n")).join(need, "part").where("n >= need").select("part", "items"), "level")
+    single = F.when(F.col("none"), F.concat("rest", F.array(F.get("rest", F.size("rest"))))).otherwise(F.col("rest"))
+    level = enough(held.select("part", F.explode(single).alias("item")).select("part", F.array("item").alias("items")))
+    alone = level.select("part", F.element_at("items", 1).alias("next"))
+    matches = held.select("part", F.array().cast(level.schema["items"].dataType).alias("items"), "rest")
+    for k in range(1, size + 1):
+        # baskets stay rows of their own: a match carries the items after it, and what it may grow into is looked up
+        if k > 1:
+            matches = matches.join(level, ["part", "items"], "left_semi")
+        grown = matches.select("part", "items", "rest", F.posexplode("rest").alias("at", "next")).join(alone, ["part", "next"], "left_semi")
+        matches = grown.select("part", F.concat("items", F.array("next")).alias("items"), F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"))
+        if k > 1:
+            level = enough(matches)
     sets = level.select("items").distinct()
     return sets if size > 2 else sets.select(*[F.col("items")[i].alias(n) for i, n in enumerate(("item", "item2")[:size])])
 
