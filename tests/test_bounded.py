@@ -62,3 +62,16 @@ def test_bloom_state_holds_new_keys_alone():
         again = next(live._bloom_state((0,), frames([150]), state))
         assert again["fp"].sum() == again["tn"].sum() == 0
     assert results[0] == results[1] and len(results[0]) == 8 and sum(r[2] + r[3] for r in results[0]) == 30
+
+
+def test_a_tick_is_one_row_of_state(spark, tmp_path, monkeypatch):
+    """The live estimate of a tick keeps all its maxima in one row."""
+    from pyspark.sql import functions as F
+
+    rows = []
+    real = live.drained
+    monkeypatch.setattr(live, "drained", lambda s, mode, *k: rows.append(real(s, mode, *k)) or rows[-1])
+    spark.range(90).selectExpr("id AS event_id", "id % 11 AS user_id", "cast('2020-01-01' AS timestamp_ntz) AS ts").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    stream = live.event_stream(spark, str(tmp_path / "events.parquet"), "*.parquet")
+    got = live.live_flajolet_martin(stream, F.floor(F.col("event_id") / 30), "user_id").collect()
+    assert len(got) == 3 and len({r.estimate for r in got}) == 1 and rows[0].count() == 3
